@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .bpe import encode_decode
 from .common import scratch_dir, table
 from .exact_dedup import exact_dedup
+from .near_dedup import near_duplicates
 from .token_store import read_tokens, write_tokens
 
 UPPER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -31,6 +32,10 @@ def op1_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path, shards)
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, similarity=(85, 100))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -41,6 +46,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bitplane_tokens": op1_bitplane_tokens,
+    "op3_near_dedup": op3_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_bpe_codec": op10_bpe_codec,
 }
