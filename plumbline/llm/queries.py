@@ -12,6 +12,7 @@ from .bpe import encode_decode
 from .common import scratch_dir, table
 from .exact_dedup import exact_dedup
 from .near_dedup import near_duplicates
+from .substring_dedup import substring_dedup
 from .token_store import read_tokens, write_tokens
 
 UPPER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -32,6 +33,10 @@ def op1_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path, shards)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"), window=50, with_text=False)
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, similarity=(85, 100))
 
@@ -46,6 +51,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bitplane_tokens": op1_bitplane_tokens,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_near_dedup": op3_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_bpe_codec": op10_bpe_codec,
