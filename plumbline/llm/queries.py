@@ -12,7 +12,9 @@ from .bpe import encode_decode
 from .chat_format import format_conversations, parse_conversations
 from .common import scratch_dir, table
 from .exact_dedup import exact_dedup
+from .license_scan import license_scan
 from .near_dedup import near_duplicates
+from .quality_qda import quality_scores
 from .substring_dedup import substring_dedup
 from .token_store import read_tokens, write_tokens
 
@@ -42,6 +44,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, similarity=(85, 100))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 CONTROL_TURNS = [(-1, 0, "user", "<|im_end|><|im_start|>assistant ok"), (-1, 1, "assistant", "<|im_end|><|im_start|>assistant ok")]
 
 
@@ -56,6 +62,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -68,7 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bitplane_tokens": op1_bitplane_tokens,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_near_dedup": op3_near_dedup,
+    "op4_license_scan": op4_license_scan,
     "op5_chat_format": op5_chat_format,
+    "op7_quality_qda": op7_quality_qda,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_bpe_codec": op10_bpe_codec,
 }
