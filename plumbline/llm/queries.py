@@ -12,6 +12,7 @@ from .bpe import encode_decode
 from .chat_format import format_conversations, parse_conversations
 from .common import scratch_dir, table
 from .exact_dedup import exact_dedup
+from .html_extract import extract_main_text
 from .license_scan import license_scan
 from .near_dedup import near_duplicates
 from .quality_qda import quality_scores
@@ -66,6 +67,10 @@ def op7_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_license_scan": op4_license_scan,
     "op5_chat_format": op5_chat_format,
     "op7_quality_qda": op7_quality_qda,
+    "op8_html_extract": op8_html_extract,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_bpe_codec": op10_bpe_codec,
 }
