@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .bpe import encode_decode
 from .chat_format import format_conversations, parse_conversations
 from .common import scratch_dir, table
+from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
 from .html_extract import extract_main_text
 from .license_scan import license_scan
@@ -63,6 +64,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_dedup": op3_near_dedup,
     "op4_license_scan": op4_license_scan,
     "op5_chat_format": op5_chat_format,
+    "op6_decontaminate": op6_decontaminate,
     "op7_quality_qda": op7_quality_qda,
     "op8_html_extract": op8_html_extract,
     "op9_exact_dedup": op9_exact_dedup,
