@@ -142,7 +142,10 @@ def _sliding(state: State, active: np.ndarray, mu: np.ndarray, cfg: EngineConfig
     x = np.nan_to_num(state.rows[:, active])
     k = min(cfg.covariance.n_factors, cfg.covariance.max_components or cfg.covariance.n_factors, *x.shape)
     model = K.FactorModel.from_returns(x, k)
+    rhs = mu[active]
     try:
-        return _guarded(model.solve(mu[active], limit=np.inf), mu[active], cfg)
-    except SingularMatrixError:
-        return _guarded(np.linalg.solve(model.covariance, mu[active]), mu[active], cfg)
+        # dividing by a clamped variance would leave Woodbury no digits
+        found = model.solve(rhs, limit=np.inf) if model.idio.min() > 1e-6 else np.linalg.solve(model.covariance, rhs)
+    except (SingularMatrixError, np.linalg.LinAlgError):
+        return None
+    return _guarded(found, rhs, cfg)
