@@ -7,10 +7,10 @@ and long texts fill all in a round or two. Equal coordinates estimate the Jaccar
 the concentration of ``t`` samples without replacement.
 
 Texts with one and the same shingle set form a class at once and only its first row goes on. Bands
-of coordinates give buckets; a bucket's members are compared with a hub, not with each other, and
-hubs change from round to round until the rest is compared pair by pair, component against
-component. So links inside a group of many copies are found with about one comparison per member
-and round, and no link between components is left out.
+of coordinates give buckets; a bucket's members are compared with a hub, not with each other. Where
+a bucket still holds several components, its members are compared across components, by their
+rarest shingles and so without missing a pair. Links inside a group of many copies thus take about
+one comparison per member, and no link between components is left out.
 """
 
 from __future__ import annotations
@@ -22,15 +22,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, ship
 from .textkit import U, mix64, shingle_set
 
 ROWS_PER_BAND = 5
-#: Rounds in which the members of a bucket meet one hub each.
-HUB_ROUNDS = 3
 
 
 def bands_for(share: float, rows: int = ROWS_PER_BAND, miss: float = 1e-6) -> int:
@@ -127,9 +125,56 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     return pairs.join(right, "b").join(left, "a").select("a", "b", "left_text", "right_text").mapInArrow(_verifier(k, num, den), "a long, b long")
 
 
+def _shingle_rows(k: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["s", "rep", "n"])
+
+        size = 0
+        for b in batches:
+            for rep, text in zip(b.column("rep").to_pylist(), pc.cast(b.column("text"), pa.binary()).to_pylist(), strict=True):
+                s = shingle_set(_words(text), k).view(np.int64)
+                held.append((s, np.full(len(s), rep), np.full(len(s), len(s))))
+                size += len(s)
+                if size > 200_000:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def _rare_pairs(texts: DataFrame, members: DataFrame, comps: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """``a, b``: members of different components that can be similar enough, without missing any.
+
+    Shingles are ordered from rare to common. Two similar sets share one of their first
+    ``n - ceil(t * n) + 1`` shingles, of the smaller set even of the first ``n - ceil(2t / (1 + t) * n) + 1``,
+    and from the first shared one on enough must be left in both. A text with many shingles of its
+    own begins with those and so meets nobody, however large its bucket.
+    """
+    shingles = materialise(texts.join(members, "rep", "left_semi").mapInArrow(_shingle_rows(k), "s long, rep long, n long"))
+    often = shingles.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    at = F.row_number().over(Window.partitionBy("rep").orderBy("own", "df", "s"))
+    up_to = lambda top, low: F.expr(f"n - ((({top}) * n + {low} - 1) div ({low})) + 1")
+    # a shingle of one text alone takes its place in the order but can be shared with nobody
+    ranked = shingles.join(often, "s", "left").withColumn("own", F.col("df").isNotNull()).withColumn("at", at)
+    first = ranked.where(F.col("own") & (F.col("at") <= up_to(num, den))).withColumn("short", F.col("at") <= up_to(2 * num, num + den))
+    first = first.join(comps, "rep", "left").select("s", "rep", "n", "at", "short", F.coalesce("comp", "rep").alias("comp"))
+    mixed = first.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("s")
+    first = materialise(first.join(mixed, "s", "left_semi"))
+    small = first.where("short").select("s", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "at", "comp")])
+    met = first.join(small, "s").where(
+        f"comp <> comp2 AND n2 <= n AND {den} * n2 >= {num} * n AND {den + num} * (1 + least(n - at, n2 - at2)) >= {num} * (n + n2)"
+    )
+    return met.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle_words: int = 5, similarity: tuple[int, int] = (80, 100),
-    rows_per_band: int = ROWS_PER_BAND, bands: int | None = None, hub_rounds: int = HUB_ROUNDS,
+    rows_per_band: int = ROWS_PER_BAND, bands: int | None = None,
 ) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept``.
 
@@ -149,8 +194,8 @@ def near_duplicates(
     keys = materialise(rows.mapInArrow(_sketcher(shingle_words, bands, rows_per_band), "doc_id long, n long, sig binary, bands array<long>"))
     # classes of equal sets, each with its smallest id
     classes = materialise(
-        keys.where("sig IS NOT NULL AND doc_id IS NOT NULL").groupBy("sig").agg(F.min(F.struct("doc_id", "bands")).alias("m"))
-        .select("sig", F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands"))
+        keys.where("sig IS NOT NULL AND doc_id IS NOT NULL").groupBy("sig").agg(F.min(F.struct("doc_id", "n", "bands")).alias("m"))
+        .select("sig", F.col("m.doc_id").alias("rep"), F.col("m.n").alias("n"), F.col("m.bands").alias("bands"))
     )
     members = classes.select("rep", F.explode("bands").alias("h"))
     shared = members.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
@@ -158,31 +203,24 @@ def near_duplicates(
     wanted = buckets.select("rep").distinct()
     texts = materialise(rows.withColumnRenamed("doc_id", "rep").join(wanted, "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text")))
 
-    own = buckets.select("h", "rep", F.col("rep").alias("comp"))
-    edges = tried = comps = None
-    for k in range(hub_rounds + 1):
-        hub = F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", F.lit(k))).alias("hub")
-        unsettled = own.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), hub).where("lo <> hi").select("h", "hub")
-        if k < hub_rounds:
-            pairs = own.join(unsettled, "h").where("comp <> hub.comp").select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"))
-        else:  # whatever is left, exactly: members of different components
-            rest = own.join(unsettled.select("h"), "h")
-            other = rest.select("h", F.col("rep").alias("rep2"), F.col("comp").alias("comp2"))
-            pairs = rest.join(other, "h").where("rep < rep2 AND comp <> comp2").select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(pairs)
-        if pairs.isEmpty():
-            break
-        both = pairs.union(pairs.select("b", "a"))
-        tried = both if tried is None else tried.union(both)
-        found = materialise(_verified(pairs, texts, shingle_words, num, den))
-        edges = found if edges is None else edges.union(found)
+    # every member meets the hub of each of its buckets: the one that shares most buckets with most others
+    sizes = buckets.groupBy("h").agg(F.count(F.lit(1)).alias("c"))
+    central = buckets.join(sizes, "h").groupBy("rep").agg(F.sum("c").alias("weight"))
+    hubs = buckets.join(central, "rep").groupBy("h").agg(F.max(F.struct("weight", F.xxhash64("rep").alias("x"), "rep")).alias("hub"))
+    pairs = buckets.join(hubs, "h").where("rep <> hub.rep").select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    pairs = materialise(pairs)
+    edges = comps = None
+    if not pairs.isEmpty():
+        edges = materialise(_verified(pairs, texts, shingle_words, num, den))
         comps = components(edges)
-        own = materialise(
-            buckets.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("h", "rep", F.coalesce("comp", "rep").alias("comp"))
-        )
+        # buckets that still hold several components, and their members
+        now = buckets.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("h", "rep", F.coalesce("comp", "rep").alias("comp"))
+        mixed = now.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi AND c > 2").select("h")
+        still = now.join(mixed, "h", "left_semi").select("rep").distinct()
+        rest = _rare_pairs(texts, still, comps.withColumnRenamed("node", "rep"), shingle_words, num, den)
+        rest = materialise(rest.join(pairs, ["a", "b"], "left_anti").join(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
+        if not rest.isEmpty():
+            comps = components(edges.union(materialise(_verified(rest, texts, shingle_words, num, den))))
     named = classes.select("sig", "rep")
     if comps is None:
         named = named.select("sig", F.col("rep").alias("component"))
