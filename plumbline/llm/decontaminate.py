@@ -30,7 +30,11 @@ from .textkit import U, mix64, rolling, word_hashes
 COORDINATES = 64
 #: Shingles of all items in one block at most (8 bytes each, and as much again for sketches).
 BLOCK_SHINGLES = 2_000_000
-_STEP = 8192
+#: Shingles worked on at once; a power of two.
+_STEP = 1 << 12
+#: Bits of a value that a table of those seen among the items is indexed by, after spreading.
+_BITS = 20
+_SPREAD = U(0x9E3779B97F4A7C15)
 #: ASCII marks become spaces and A-Z lower case, so changed punctuation hides nothing.
 _PLAIN = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
 
@@ -41,7 +45,8 @@ def _shingles(text: bytes | None, k: int) -> np.ndarray:
 
 
 def _seeds(n: int) -> np.ndarray:
-    return mix64(np.arange(1, n + 1, dtype=U) * U(0xA24BAED4963EE407))
+    """Odd multipliers: shingle hashes are mixed already, so a product orders them anew."""
+    return mix64(np.arange(1, n + 1, dtype=U) * U(0xA24BAED4963EE407)) | U(1)
 
 
 @dataclass
@@ -50,7 +55,7 @@ class Items:
 
     ids: list[int]
     sets: list[np.ndarray]
-    classes: dict[int, tuple[np.ndarray, np.ndarray]]  # u -> sorted (coordinate-mixed value, item index)
+    classes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # u -> sorted values, their items, a bit for each leading part seen
 
     @classmethod
     def build(cls, rows: list[tuple[int, str | None]], k: int, coordinates: int) -> Items:
@@ -63,27 +68,42 @@ class Items:
         seeds, classes = _seeds(coordinates), {}
         for i, s in enumerate(sets):
             u = 1 << max(0, (len(s) - 1).bit_length())
-            low = np.array([mix64(s ^ x).min() for x in seeds])
-            classes.setdefault(u, []).append((mix64(low ^ seeds), np.full(coordinates, i)))
+            low = np.array([(s * x).min() for x in seeds])
+            classes.setdefault(u, []).append((low, np.full(coordinates, i)))
         out = {}
         for u, parts in classes.items():
             v, i = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.argsort(v, kind="stable")
-            out[u] = (v[order], i[order])
+            seen = np.zeros(1 << _BITS, bool)
+            seen[(v * _SPREAD) >> U(64 - _BITS)] = True
+            out[u] = (v[order], i[order], seen)
         return cls(ids, sets, out)
 
 
-def _window_minima(h: np.ndarray, u: int, seeds: np.ndarray) -> np.ndarray:
-    """MinHash values of the windows of ``2u`` shingles that start every ``u``, mixed with their coordinate."""
-    n = len(h)
-    m = -(-n // u)
-    padded = np.concatenate([h, np.repeat(h[-1:], m * u - n)]).reshape(m, u)
-    out = np.empty((len(seeds), max(1, m - 1)), U)
-    rows = max(1, _STEP // u)
-    for k, seed in enumerate(seeds):
-        low = np.concatenate([mix64(padded[i : i + rows] ^ seed).min(1) for i in range(0, m, rows)])
-        out[k] = mix64((np.minimum(low[:-1], low[1:]) if m > 1 else low) ^ seed)
-    return out
+def _halved(x: np.ndarray) -> np.ndarray:
+    """Minima of neighbouring columns, two by two."""
+    n = x.shape[1]
+    half = np.minimum(x[:, : n - 1 : 2], x[:, 1::2])
+    return half if n % 2 == 0 else np.concatenate([half, x[:, -1:]], axis=1)
+
+
+def _sketches(h: np.ndarray, classes: list[int], seeds: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each class ``u``, the MinHash values of its windows for all coordinates.
+
+    Windows hold ``2u`` shingles and start every ``u``; a document of at most ``2u`` is one window.
+    Minima of small blocks give those of larger ones, so each coordinate hashes a shingle once.
+    """
+    parts, step = [], max(_STEP, classes[0])
+    for i in range(0, len(h), step):
+        x, have = h[None, i : i + step] * seeds[:, None], 1
+        while have < classes[0]:
+            x, have = _halved(x), have * 2
+        parts.append(x)
+    low, have = (parts[0] if len(parts) == 1 else np.concatenate(parts, axis=1)), classes[0]
+    for u in classes:
+        while have < u:
+            low, have = _halved(low), have * 2
+        yield u, (np.minimum(low[:, :-1], low[:, 1:]) if 2 * u < len(h) else low.min(axis=1)).ravel()
 
 
 def found_in(h: np.ndarray, items: Items, seeds: np.ndarray, share: tuple[int, int]) -> list[tuple[int, int, int]]:
@@ -91,13 +111,9 @@ def found_in(h: np.ndarray, items: Items, seeds: np.ndarray, share: tuple[int, i
     if not len(h):
         return []
     candidates: set[int] = set()
-    for u, (values, index) in items.classes.items():
-        if 2 * u < len(h):
-            x = _window_minima(h, u, seeds).ravel()
-        else:  # the whole document is one window
-            x = np.array([mix64(h ^ s).min() for s in seeds])
-            x = mix64(x ^ seeds)
-        x = np.unique(x)
+    for u, x in _sketches(h, sorted(items.classes), seeds):
+        values, index, seen = items.classes[u]
+        x = x[seen[(x * _SPREAD) >> U(64 - _BITS)]]  # most values are no item's; the rest is looked up
         lo, hi = np.searchsorted(values, x, "left"), np.searchsorted(values, x, "right")
         for a, b in zip(lo[lo < hi].tolist(), hi[lo < hi].tolist(), strict=True):
             candidates.update(index[a:b].tolist())
