@@ -141,6 +141,10 @@ def split_words(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), WORD_SPLIT, -1)
 
 
+def _file(key: int) -> str:
+    return f"pack-{key & (1 << 64) - 1:016x}"
+
+
 def _write_once(root: str, name: str, data: bytes) -> None:
     fs, top = filesystem(root)
     fs.create_dir(top, recursive=True)
@@ -175,12 +179,13 @@ def _packer(root: str):
             digest = hashlib.sha256(data)
             for b in coded.dictionary.buffers():
                 digest.update(b or b"")
-            key = f"{task}-{made}-{digest.hexdigest()[:24]}"  # equal packs of different tasks stay apart
-            _write_once(root, key, data)
+            digest.update(f"{task} {made}".encode())  # equal packs of different tasks stay apart
+            key = int.from_bytes(digest.digest()[:8], "little", signed=True)
+            _write_once(root, _file(key), data)
             n = len(coded.dictionary)
             bare = np.zeros(n, np.int32)
             bare[at[np.concatenate([[0], np.cumsum(lengths)[:-1]])]] = 1
-            return pa.RecordBatch.from_arrays([pa.DictionaryArray.from_arrays(np.zeros(n, np.int32), [key]).dictionary_decode(), pa.array(np.arange(n, dtype=np.int32) * 2 + bare), coded.dictionary], ["pack", "at", "word"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, key, np.int64)), pa.array(np.arange(n, dtype=np.int32) * 2 + bare), coded.dictionary], ["pack", "at", "word"])
 
         for b in batches:
             if b.num_rows:
@@ -206,7 +211,7 @@ def _encoder(path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = shared_encoder(path)
-        held: dict[str, list] = {}
+        held: dict[int, list] = {}
         count = 0
         last, spaced, bare = None, b"", None
 
@@ -221,7 +226,7 @@ def _encoder(path: str):
                 parts = [comp.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes()) for x in body]
                 keys.append(key)
                 blobs.append(np.array([len(p) for p in parts], "<i8").tobytes() + b"".join(parts))
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(blobs, pa.binary())], ["pack", "blob"])
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["pack", "blob"])
 
         for b in batches:
             for pack, at, word in zip(b.column("pack").to_pylist(), b.column("at").to_pylist(), b.column("word").to_pylist(), strict=True):
@@ -273,7 +278,7 @@ def _restorer(root: str, path: str, fields: list[str]):
         where = np.empty(int(at.max()) + 1, np.int64)
         where[at] = np.arange(len(at))  # an id list sent twice by a retried task is the same list
         fs, top = filesystem(root)
-        with fs.open_input_file(f"{top}/{key[0].as_py()}") as f:
+        with fs.open_input_file(f"{top}/{_file(key[0].as_py())}") as f:
             doc, null, lengths, words = _planes(f.read(), 4)
         out: dict[str, list] = {c: [] for c in fields}
         start, words = 0, where[_ints(words)]
@@ -306,7 +311,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     ship(spark)
     root = scratch_dir(spark)
     split = docs.select(F.col(id_col).cast("long").alias("doc_id"), split_words(F.col(text_col)).alias("words"))
-    names = split.mapInArrow(_packer(root), "pack string, at int, word string")
+    names = split.mapInArrow(_packer(root), "pack long, at int, word string")
     sorted_names = names.repartition(n_partitions(spark), "word").sortWithinPartitions("word")
-    encoded = sorted_names.mapInArrow(_encoder(path), "pack string, blob binary")
+    encoded = sorted_names.mapInArrow(_encoder(path), "pack long, blob binary")
     return encoded.groupBy("pack").applyInArrow(_restorer(root, path, list(fields)), ", ".join(f"{f} {_FIELDS[f][0]}" for f in fields))
