@@ -100,16 +100,15 @@ class WordEncoder:
         self.cut = regex.compile(PRE_TOKENS).findall
         self.letters = {b: c for b, c in _byte_letters().items()}
         self.model = self.tok.model
-        # where words cannot be told apart by single spaces
-        self.whole = re.compile(r"\s\s|^\s|\s$|[^\S ] | [^\S ]").search
         self.pieces = Recent(self._piece, most)
-        self.words = Recent(self._word, most)
+        self.words = Recent(lambda word: self.ids(" " + word), most)  # without the space before them
 
     def _piece(self, piece: str) -> bytes:
         text = piece.replace(" ", "\u0120") if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
 
-    def _word(self, word: str) -> bytes:
+    def ids(self, word: str) -> bytes:
+        """Ids of a word that may have a space before it, as little-endian unsigned 32-bit numbers."""
         if self.special(word):
             return np.array(self.tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         got = self.pieces
@@ -122,12 +121,13 @@ class WordEncoder:
     def encode(self, text: str) -> np.ndarray:
         if self.special(text):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
-        if self.whole(text):
+        # words lie between single spaces unless white space meets white space there
+        if "  " in text or " \n" in text or "\n " in text or not text.replace("\n", "").isprintable():
             got = self.pieces
             return np.frombuffer(b"".join([got[p] for p in self.cut(text)]), "<u4")
         got = self.words
         head, *rest = text.split(" ")
-        return np.frombuffer(b"".join([got[head], *[got[" " + w] for w in rest]]), "<u4")
+        return np.frombuffer(self.ids(head) + b"".join([got[w] for w in rest]), "<u4")
 
 
 @lru_cache(maxsize=2)
@@ -231,9 +231,9 @@ def _encoder(path: str):
         for b in batches:
             for pack, at, word in zip(b.column("pack").to_pylist(), b.column("at").to_pylist(), b.column("word").to_pylist(), strict=True):
                 if word != last:
-                    last, spaced, bare = word, enc._word(" " + word), None
+                    last, spaced, bare = word, enc.ids(" " + word), None
                 if at & 1 and bare is None:
-                    bare = enc._word(word)
+                    bare = enc.ids(word)
                 held.setdefault(pack, []).append((at >> 1, bare if at & 1 else b"", spaced))
                 count += 1
             if count >= HOLD_ROWS:
