@@ -30,7 +30,9 @@ from .common import filesystem, n_partitions, scratch_dir, ship
 WORD_SPLIT = r"(?<=[^\s\p{Z}\p{C}]) (?=[^\s\p{Z}\p{C}])"
 PACK_BYTES = 24 << 20
 #: Rows that the encoder holds back to send a pack's ids together.
-HOLD_ROWS = 300_000
+HOLD_ROWS = 200_000
+#: Pieces remembered while words come in order.
+SORTED_PIECES = 60_000
 #: The pre-tokenizer pattern of the vocabulary file; a fixed value.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -131,9 +133,9 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def shared_encoder(path: str) -> WordEncoder:
+def shared_encoder(path: str, most: int) -> WordEncoder:
     """One encoder for all tasks of a Python worker."""
-    return WordEncoder(path)
+    return WordEncoder(path, most)
 
 
 def split_words(text: Column) -> Column:
@@ -210,7 +212,7 @@ def _encoder(path: str):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = shared_encoder(path)
+        enc = shared_encoder(path, SORTED_PIECES)
         held: dict[int, list] = {}
         count = 0
         last, spaced, bare = None, b"", None

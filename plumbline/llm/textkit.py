@@ -8,11 +8,11 @@ import xxhash
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
-_MAX_WORDS = 1 << 20
+_MAX_WORDS = 1 << 18
 
 
 class _Hashes(dict):
-    """Word to 64-bit hash; forgets everything once it holds a million words."""
+    """Word to 64-bit hash; forgets everything once it holds a quarter of a million words."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= _MAX_WORDS:

@@ -33,6 +33,8 @@ from .common import filesystem, n_partitions, ship
 MAGIC = b"PLBITPL1"
 BLOCK_IDS = 1 << 16
 PLANES = 4
+#: Words and pieces that a worker remembers, each in two generations.
+WORDS = 400_000
 
 
 class _ShardWriter:
@@ -128,7 +130,7 @@ class ShardReader:
 
 def _writer(path: str, tokenizer: str, end_id: int, block_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, out, name, shard, low = shared_encoder(tokenizer), None, "", None, None
+        enc, out, name, shard, low = shared_encoder(tokenizer, WORDS), None, "", None, None
         fs, root = filesystem(path)
         end = np.array([end_id], "<u4")
         for b in batches:
