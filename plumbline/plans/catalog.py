@@ -229,8 +229,7 @@ def woodbury_k1(spark, sf):
     return rounded(w.crossJoin(s).select("vec_id", (F.col("y") / F.col("d") - F.col("b") / F.col("d") * F.col("by") / (0.5 + F.col("bb"))).alias("x")))
 
 
-@query("factor_model_fit")
-def factor_model_fit(spark, sf):
+def _dimension_model(spark, sf):
     """Second moments of the 64 embedding dimensions summed in the cluster, then a three-factor fit of one small matrix."""
     import numpy as np
 
@@ -244,9 +243,23 @@ def factor_model_fit(spark, sf):
     gram = np.zeros((n, n))
     for r in rows:
         gram[r.i, r.j] = r.g
-    m = FactorModel.from_gram(gram, 3)
+    return FactorModel.from_gram(gram, 3)
+
+
+@query("factor_model_fit")
+def factor_model_fit(spark, sf):
+    m = _dimension_model(spark, sf)
     c = m.covariance
-    return spark.createDataFrame([(i, float(m.idio[i]), float(c[i, i]), float(m.woodbury_condition_number)) for i in range(n)], "dim int, idio double, variance double, woodbury_condition double")
+    return spark.createDataFrame([(i, float(m.idio[i]), float(c[i, i]), float(m.woodbury_condition_number)) for i in range(m.n_assets)], "dim int, idio double, variance double, woodbury_condition double")
+
+
+@query("factor_cov_dims")
+def factor_cov_dims(spark, sf):
+    """Factor covariance over every row: the embedding dimensions are the assets, the loadings those of their fit."""
+    m = _dimension_model(spark, sf)
+    b = [(i, k, float(m.loadings[i, k]), float(m.factor_cov[k, k])) for i in range(m.n_assets) for k in range(m.n_factors)]
+    d = [(i, float(x)) for i, x in enumerate(m.idio)]
+    return rounded(covariance.factor_cov(spark.createDataFrame(b, "i int, l int, b double, f double"), spark.createDataFrame(d, "i int, d double")))
 
 
 # ---- positions ---------------------------------------------------------------------------------
