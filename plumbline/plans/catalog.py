@@ -185,7 +185,6 @@ def window_gram(spark, sf):
 
 
 def _sw_cov(batches):
-    import numpy as np
     import pandas as pd
 
     from ..functions.kernel import FactorModel
@@ -193,17 +192,27 @@ def _sw_cov(batches):
     for pdf in batches:
         out = []
         for r in pdf.itertuples(index=False):
-            g = np.zeros((2, 2))
-            g[list(r.pi), list(r.pj)] = g[list(r.pj), list(r.pi)] = np.array(r.pv, float)
+            g = solve._full(r, 1 + int(max(r.pj)))
             c = FactorModel.from_gram(g / 60, 1).covariance
-            out.append((r.row_idx, c[0, 0], c[0, 1], c[1, 1]))
-        yield pd.DataFrame(out, columns=["row_idx", "c00", "c01", "c11"])
+            out += [(r.row_idx, int(i), int(j), c[i, j]) for i, j in zip(r.pi, r.pj, strict=True)]
+        yield pd.DataFrame(out, columns=["row_idx", "i", "j", "cov"])
+
+
+def _sw_cov_cells(spark, sf, name: str) -> DataFrame:
+    """``row_idx, i, j, cov`` of all assets of a panel, pairs ``i <= j``."""
+    m = solve.matrices(engine(spark, sf, name, WINDOW).enriched, WINDOW).where("row_idx >= 59").withColumn("row_idx", F.col("row_idx").cast("int"))
+    return m.mapInPandas(_sw_cov, "row_idx int, i int, j int, cov double")
 
 
 @query("sw_cov", O.flow("p2", O.returns_sql(WINDOW), O.gram_sql(60), EIG2, out=f"SELECT row_idx, {rnd('d0 AS c00', 'c AS c01', 'd1 AS c11')} FROM mat WHERE row_idx >= 59"))
 def sw_cov(spark, sf):
-    m = solve.matrices(engine(spark, sf, "p2", WINDOW).enriched, WINDOW).where("row_idx >= 59").withColumn("row_idx", F.col("row_idx").cast("int"))
-    return rounded(m.mapInPandas(_sw_cov, "row_idx int, c00 double, c01 double, c11 double"))
+    cell = lambda i, j: F.max(F.when((F.col("i") == i) & (F.col("j") == j), F.col("cov")))
+    return rounded(_sw_cov_cells(spark, sf, "p2").groupBy("row_idx").agg(cell(0, 0).alias("c00"), cell(0, 1).alias("c01"), cell(1, 1).alias("c11")))
+
+
+@query("sw_cov_p25")
+def sw_cov_p25(spark, sf):
+    return rounded(_sw_cov_cells(spark, sf, "p25"))
 
 
 _LOADINGS = "SELECT CAST(vec_id AS INTEGER) AS i, l, CAST({e} AS DOUBLE) AS b, 1.0 / (l + 1) AS f FROM embeddings, (SELECT unnest([0, 1, 2]) AS l) WHERE vec_id < 12"
@@ -304,6 +313,16 @@ def sw_position_status(spark, sf):
     return engine(spark, sf, "p2", WINDOW).position_status.select("ts", "row_idx", "status")
 
 
+@query("sw_cash_position_p25")
+def sw_cash_position_p25(spark, sf):
+    return rounded(engine(spark, sf, "p25", WINDOW).cash_position.select("ts", "row_idx", "asset_ord", "status", "cash"), 5)
+
+
+@query("sw_position_status_p25")
+def sw_position_status_p25(spark, sf):
+    return engine(spark, sf, "p25", WINDOW).position_status.select("ts", "row_idx", "status")
+
+
 @query("turnover_capped")
 def turnover_capped(spark, sf):
     return rounded(engine(spark, sf, "p3", CAPPED).cash_position, 5)
@@ -317,20 +336,35 @@ def condition_number(spark, sf):
     return rounded(engine(spark, sf, "p2").condition_number())
 
 
+@query("condition_number_p25")
+def condition_number_p25(spark, sf):
+    return rounded(engine(spark, sf, "p25").condition_number())
+
+
 @query("effective_rank", O.flow("p2", *SOL2, out=f"SELECT ts, row_idx, {rnd('exp(-((1 + c) / 2 * ln((1 + c) / 2) + (1 - c) / 2 * ln((1 - c) / 2))) AS effective_rank')} FROM sol"))
 def effective_rank(spark, sf):
     return rounded(engine(spark, sf, "p2").effective_rank())
 
 
+@query("effective_rank_p25")
+def effective_rank_p25(spark, sf):
+    return rounded(engine(spark, sf, "p25").effective_rank())
+
+
 @query("signal_utilisation", O.flow("p2", *SOL2, out="""SELECT ts, row_idx, k AS asset_ord, round(CASE WHEN c IS NULL AND NOT zero THEN NULL WHEN zero THEN 0.0 WHEN k = 0 THEN CASE WHEN abs(m0) > 1e-14 THEN x0 / m0 END ELSE CASE WHEN abs(m1) > 1e-14 THEN x1 / m1 END END, 6) AS utilisation
     FROM sol, (SELECT unnest([0, 1]) AS k)"""))
 def signal_utilisation(spark, sf):
     return rounded(engine(spark, sf, "p2").signal_utilisation())
 
 
+@query("signal_utilisation_p25")
+def signal_utilisation_p25(spark, sf):
+    return rounded(engine(spark, sf, "p25").signal_utilisation())
+
+
 @query("solver_residual")
 def solver_residual(spark, sf):
-    return rounded(engine(spark, sf, "p2").solver_residual(), 9)
+    return rounded(engine(spark, sf, "p25").solver_residual(), 9)
 
 
 # ---- signal evaluation -------------------------------------------------------------------------
@@ -627,16 +661,31 @@ def sharpe_at_shrink(spark, sf):
     return rounded(engine(spark, sf, "p2").sharpe_at_shrink([0.3]))
 
 
+@query("sharpe_at_shrink_p25")
+def sharpe_at_shrink_p25(spark, sf):
+    return rounded(engine(spark, sf, "p25").sharpe_at_shrink([0.3]))
+
+
 @query("lambda_sweep", _sweep_sql(sorted({*GRID, CFG.shrink})))
 def lambda_sweep(spark, sf):
     return rounded(sweeps.lambda_sweep(panel(spark, sf, "p2"), CFG))
 
 
+@query("lambda_sweep_p25")
+def lambda_sweep_p25(spark, sf):
+    return rounded(sweeps.lambda_sweep(panel(spark, sf, "p25"), CFG))
+
+
 @query("naive_sharpe", _sweep_sql([CFG.shrink], mu="1.0"))
 def naive_sharpe(spark, sf):
     return rounded(engine(spark, sf, "p2").naive_sharpe())
 
 
+@query("naive_sharpe_p25")
+def naive_sharpe_p25(spark, sf):
+    return rounded(engine(spark, sf, "p25").naive_sharpe())
+
+
 @query("sharpe_at_window_factors")
 def sharpe_at_window_factors(spark, sf):
     return rounded(engine(spark, sf, "p3", WINDOW).sharpe_at_window_factors([(40, 1), (60, 2)]))
