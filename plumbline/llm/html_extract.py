@@ -36,11 +36,19 @@ IMPLIED = {
 }
 #: Elements that an end tag inside does not close from within (``</b>`` stays inside its paragraph).
 BARRIER = frozenset("article section div main body html table td th tr ul ol li nav header footer aside form blockquote".split())
-UNWANTED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|adbox|banner\w*|sponsor\w*|promo\w*|side-?bar\w*|menu\w*|nav\w*|breadcrumb\w*|foot(?:er)?\w*|head(?:er|ing-?bar)|masthead|comment\w*|disqus\w*|reply|replies|respond"
-    r"|cookie\w*|consent\w*|gdpr\w*|notice\w*|alert\w*|notification\w*|newsletter\w*|subscribe\w*|subscription\w*|signup|login|share\w*|sharing|social\w*|related\w*|recommend\w*|popup\w*|pop-up|modal\w*|overlay\w*|widget\w*"
-    r"|toolbar\w*|pagination|pager|tags|tagcloud|copyright|disclaimer|legal|skip\w*|hidden|feedback|form\w*)(?=$|[\s_-])", re.I,
+#: Elements of readers and of other pages' texts: they hold articles and paragraphs of their own.
+FOREIGN = frozenset("comment comments commentlist disqus reply replies respond related recommend recommended recommendation recommendations".split())
+#: Columns and boxes that list other articles.
+LISTING = FOREIGN | frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense adbox sponsor sponsors sponsored promo promos promotion promotions promoted sidebar sidebars widget widgets".split())
+#: Whole parts of class and id names.
+UNWANTED = LISTING | frozenset(
+    "banner banners menu menus nav navs navbar navigation breadcrumb breadcrumbs foot footer footers header headers headingbar masthead cookie cookies consent gdpr notice notices alert alerts"
+    " notification notifications newsletter newsletters subscribe subscription subscriptions signup login share shares sharing sharebar social socials popup popups modal modals overlay overlays"
+    " toolbar toolbars pagination pager tags tagcloud copyright disclaimer legal skip skiplink skiplinks hidden feedback form forms".split()
 )
+#: What follows in the name says how the page is laid out (``has-sidebar``), not what the element is.
+LAYOUT = frozenset("has no with without".split())
+PART = re.compile(r"[_-]+|(?<=[a-z])(?=[A-Z])")
 UNWANTED_ROLE = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|$)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?")
@@ -57,16 +65,34 @@ class Node:
         self.points = 0.0
         self.size = self.links = 0
 
-    def unwanted(self) -> bool:
+    def unwanted(self, by_name: bool = True) -> tuple[bool, frozenset[str] | None]:
+        """Whether to leave it out, and if that is only by its name, role or form, the parts that say so."""
+        if self.tag in ("form", "fieldset"):
+            return True, frozenset({"form"})
         if self.tag in DROPPED:
-            return True
+            return True, None
         if not self.attrs or self.tag in ("html", "body", "article", "main"):
-            return False
+            return False, None
         found = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(self.attrs)}
-        return (
-            "hidden" in found or found.get("aria-hidden") == "true" or found.get("role", "").lower() in UNWANTED_ROLE or bool(re.search(r"display\s*:\s*none", found.get("style", ""), re.I))
-            or bool(UNWANTED.search(found.get("class", ""))) or bool(UNWANTED.search(found.get("id", "")))
-        )
+        if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
+            return True, None
+        parts = unwanted_parts(found.get("class", "")) | unwanted_parts(found.get("id", "")) if by_name else frozenset()
+        if found.get("role", "").lower() in UNWANTED_ROLE:
+            return True, parts
+        return bool(parts), parts
+
+
+def unwanted_parts(names: str) -> frozenset[str]:
+    out = set()
+    for name in names.split():
+        before = ""
+        for part in PART.split(name):
+            part = part.lower().rstrip("0123456789")
+            if part in LAYOUT:
+                break
+            out |= UNWANTED & {part, before + part}
+            before = part
+    return frozenset(out)
 
 
 def parse(html: str) -> Node:
@@ -113,13 +139,57 @@ def _close(here: Node, tags: frozenset[str], barrier: frozenset[str]) -> Node:
     return here
 
 
-def _prune(root: Node) -> list[Node]:
-    """Takes unwanted elements out; returns what stays, parents before children."""
+def _prose(root: Node, marks: dict[int, tuple[bool, frozenset[str] | None]]) -> dict[int, tuple[int, bool, bool]]:
+    """For each element: characters of paragraphs outside links, and whether it holds a main or an article with such text.
+
+    What is left out for sure and what readers wrote does not count for the elements around it.
+    """
+    order, todo = [], [(root, False)]
+    while todo:
+        x, inside = todo.pop()
+        inside |= x.tag in PARAGRAPH or x.tag == "div" and not any(isinstance(i, Node) and i.tag in BLOCK for i in x.items)
+        order.append((x, inside))
+        todo += [(i, inside) for i in x.items if isinstance(i, Node) and i.tag != "a"]
+    found: dict[int, tuple[int, bool, bool]] = {}
+    for x, inside in reversed(order):
+        chars, main, article = sum(len(i.strip()) for i in x.items if isinstance(i, str)) if inside else 0, False, False
+        for i in x.items:
+            if isinstance(i, Node) and i.tag != "a":
+                out, parts = marks[id(i)]
+                c, m, a = found[id(i)]
+                if not out or parts is not None and not parts & FOREIGN:
+                    chars, main, article = chars + c, main or m or i.tag == "main" and c > 0, article or a or i.tag == "article" and c > 0
+        found[id(x)] = chars, main, article
+    return found
+
+
+def _prune(root: Node, by_name: bool = True) -> list[Node]:
+    """Takes unwanted elements out; returns what stays, parents before children.
+
+    An element that is unwanted by name, role or form stays if it holds a main, an article or most of
+    the page's paragraph text: then the name says something else.
+    """
+    marks, todo = {}, [root]
+    while todo:
+        x = todo.pop()
+        marks[id(x)] = x.unwanted(by_name)
+        todo += [i for i in x.items if isinstance(i, Node)]
+    prose = _prose(root, marks) if any(parts is not None and out for out, parts in marks.values()) else {}
+
+    def stays(x: Node) -> bool:
+        out, parts = marks[id(x)]
+        if not out:
+            return True
+        if parts is None or id(x) not in prose:
+            return False
+        chars, main, article = prose[id(x)]
+        return main or article and not parts & LISTING or 2 * chars > prose[id(root)][0] and not parts & FOREIGN
+
     order, todo = [], [root]
     while todo:
         x = todo.pop()
         order.append(x)
-        x.items = [i for i in x.items if isinstance(i, str) or not i.unwanted()]
+        x.items = [i for i in x.items if isinstance(i, str) or stays(i)]
         todo += [i for i in reversed(x.items) if not isinstance(i, str)]
     return order
 
@@ -168,7 +238,11 @@ def main_text(html: str | None) -> str:
     """The article of one page; empty for null, empty and text-free pages."""
     if not html:
         return ""
-    order = _prune(root := parse(html))
+    return _main_text(html) or _main_text(html, by_name=False)
+
+
+def _main_text(html: str, by_name: bool = True) -> str:
+    order = _prune(root := parse(html), by_name)
     _score(order)
     articles = [x for x in order if x.tag in ("article", "main") and x.size]
     best = max(articles or order, key=lambda x: x.points)  # the first of equals
@@ -201,7 +275,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
     are left out; nothing else is dropped or capped. Null, empty and text-free pages give an empty
-    text. Rows that repeat an id give a row each; null ids and urls are kept. Extra columns are not
+    text; a page whose whole text has unwanted names is read without regard to names. Rows that repeat an id give a row each; null ids and urls are kept. Extra columns are not
     read; an empty table gives no rows. Nothing is shuffled.
     """
     ship(pages.sparkSession)

@@ -281,6 +281,36 @@ def test_html_extraction(spark):
     assert extract_main_text(df.limit(0)).count() == 0
 
 
+ARTICLE = "The text of the article, which is long enough to be scored, with commas. " * 3
+LOOSE = ["post format-standard hentry", "content no-sidebar", "main-content has-sidebar", "football", "footnotes", "commentary", "information", "headline", "noSidebar", "shareholders"]
+AROUND = "<p>A short line of the page.</p>"
+
+
+@pytest.mark.parametrize("name", LOOSE)
+def test_html_names_match_in_whole_parts(name):
+    assert main_text(f"<body><div class='{name}'><p>{ARTICLE}</p></div><div class='sidebar1'><p>Beside it.</p></div></body>") == ARTICLE.strip()
+    assert ARTICLE.strip() in main_text(f"<body><div><p>{ARTICLE}</p><p id='{name}'>{ARTICLE}</p></div></body>").replace(ARTICLE, "", 1)
+
+
+@pytest.mark.parametrize("name", ["social", "form", "site-header", "sidebar", "alert"])
+def test_html_names_round_the_text_do_not_remove_it(name):
+    assert ARTICLE.strip() in main_text(f"<body>{AROUND}<div class='{name}'><p>{ARTICLE}</p></div></body>")
+    assert main_text(f"<body>{AROUND}<div class='{name}'><article><p>{ARTICLE}</p></article></div></body>") == ARTICLE.strip()
+    assert main_text(f"<body>{AROUND}<div class='{name}'><main><p>{ARTICLE}</p></main></div></body>") == ARTICLE.strip()
+
+
+def test_html_form_round_the_page_and_nothing_left():
+    assert main_text(f"<body><form id='aspnetForm'><div class='menu'><p>Menu line</p></div><div><p>{ARTICLE}</p></div></form></body>") == ARTICLE.strip()
+    assert main_text("<body><div class='comments'><p>All there is on this page.</p></div></body>") == "All there is on this page."
+
+
+def test_html_comments_and_lists_of_other_articles_stay_out():
+    other = "<article><p>Another text, with commas, of some length, as a card or from a reader.</p></article>"
+    for name in ("comments", "related-posts", "recommended", "widget", "sideBar", "ad"):
+        n = 20 if name in ("comments", "related-posts", "recommended") else 2
+        assert main_text(f"<body><div class='post'><p>{ARTICLE}</p></div><div class='{name}'>{other * n}</div></body>") == ARTICLE.strip()
+
+
 @pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
 def test_query_equals_sql(spark, sf, name):
     from helpers import duck, rows
