@@ -39,9 +39,12 @@ _SPREAD = U(0x9E3779B97F4A7C15)
 _PLAIN = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
 
 
-def _shingles(text: bytes | None, k: int) -> np.ndarray:
-    words = (text or b"").translate(_PLAIN).split()
-    return rolling(word_hashes(words), min(k, len(words))) if words else np.empty(0, U)
+def _words(text: bytes | None) -> list[bytes]:
+    return (text or b"").translate(_PLAIN).split()
+
+
+def _shingles(hashes: np.ndarray, k: int) -> np.ndarray:
+    return rolling(hashes, min(k, len(hashes))) if len(hashes) else np.empty(0, U)
 
 
 def _seeds(n: int) -> np.ndarray:
@@ -56,13 +59,17 @@ class Items:
     ids: list[int]
     sets: list[np.ndarray]
     classes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # u -> sorted values, their items, a bit for each leading part seen
+    short: dict[int, dict[int, list[tuple[int, list[bytes]]]]]  # words of items of fewer than k, by their number and hash
 
     @classmethod
     def build(cls, rows: list[tuple[int, str | None]], k: int, coordinates: int) -> Items:
-        ids, sets = [], []
+        ids, sets, short = [], [], {}
         for i, text in rows:
-            s = np.unique(_shingles(text.encode() if text else b"", k))
+            words = _words(text.encode() if text else b"")
+            s = np.unique(_shingles(word_hashes(words), k)) if words else ()
             if len(s):
+                if len(words) < k:
+                    short.setdefault(len(words), {}).setdefault(int(s[0]), []).append((len(ids), words))
                 ids.append(i)
                 sets.append(s)
         seeds, classes = _seeds(coordinates), {}
@@ -77,7 +84,7 @@ class Items:
             seen = np.zeros(1 << _BITS, bool)
             seen[(v * _SPREAD) >> U(64 - _BITS)] = True
             out[u] = (v[order], i[order], seen)
-        return cls(ids, sets, out)
+        return cls(ids, sets, out, short)
 
 
 def _halved(x: np.ndarray) -> np.ndarray:
@@ -130,6 +137,23 @@ def found_in(h: np.ndarray, items: Items, seeds: np.ndarray, share: tuple[int, i
     return out
 
 
+def found_in_text(text: bytes | None, k: int, items: Items, seeds: np.ndarray, share: tuple[int, int]) -> list[tuple[int, int, int]]:
+    """:func:`found_in` for a text; items of fewer than ``k`` words are compared with all its runs of as many words."""
+    words = _words(text)
+    if not words:
+        return []
+    hashes = word_hashes(words)
+    out = found_in(_shingles(hashes, k), items, seeds, share)
+    if len(words) >= k:
+        known = {i for i, _, _ in out}
+        for n, wanted in items.short.items():
+            runs = rolling(hashes, n)
+            for p in np.flatnonzero(np.isin(runs, np.fromiter(wanted, U, len(wanted)))).tolist():
+                known.update(i for i, own in wanted[int(runs[p])] if words[p : p + n] == own)
+        out += [(i, 1, 1) for i in sorted(known - {x[0] for x in out})]
+    return out
+
+
 def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, k: int, coordinates: int, block_shingles: int) -> list:
     """Broadcast blocks of sketched items, each bounded by ``block_shingles``."""
     sc = benchmark.sparkSession.sparkContext
@@ -153,8 +177,8 @@ def contaminated(
     """Pairs ``doc_id, item_id, item_shingles, found, containment`` of documents that contain an item.
 
     Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased; a set is the
-    distinct five-word shingles of the whole text, or the whole word sequence where there are fewer. A
-    pair counts when the document holds at least ``share`` of the item's shingles. Null and empty
+    distinct five-word shingles of the whole text, or the whole word sequence where there are fewer. An
+    item of fewer words is also looked for, word for word, anywhere in a text of five or more. A pair counts when the document holds at least ``share`` of the item's shingles. Null and empty
     texts contain nothing and are found nowhere; null item ids are skipped; a null ``doc_id`` is
     kept. Rows that repeat an id give their pairs each, repeated items too. Extra columns are not
     read; an empty table on either side gives no rows.
@@ -167,7 +191,7 @@ def contaminated(
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items, seeds = block.value, _seeds(coordinates)
             for b in batches:
-                hits = [(r, items.ids[i], n, both) for r, t in enumerate(pc.cast(b.column("text"), pa.binary()).to_pylist()) for i, n, both in found_in(_shingles(t, shingle_words), items, seeds, share)]
+                hits = [(r, items.ids[i], n, both) for r, t in enumerate(pc.cast(b.column("text"), pa.binary()).to_pylist()) for i, n, both in found_in_text(t, shingle_words, items, seeds, share)]
                 at, ids, n, both = (list(x) for x in zip(*hits, strict=True)) if hits else ([], [], [], [])
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), *(pa.array(x, pa.int64()) for x in (ids, n, both))], ["doc_id", "item_id", "item_shingles", "found"])
 
@@ -192,7 +216,7 @@ def drop_contaminated(
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items, seeds = block.value, _seeds(coordinates)
             for b in batches:
-                clean = [not found_in(_shingles(t, shingle_words), items, seeds, share) for t in pc.cast(b.column(text_col), pa.binary()).to_pylist()]
+                clean = [not found_in_text(t, shingle_words, items, seeds, share) for t in pc.cast(b.column(text_col), pa.binary()).to_pylist()]
                 yield b.filter(pa.array(clean, pa.bool_()))
 
         return run

@@ -247,6 +247,18 @@ def test_decontamination(spark, corpus):
     assert contaminated(frame(spark, docs), bench.limit(0)).count() == contaminated(frame(spark, EMPTY), bench).count() == 0
 
 
+def test_decontamination_finds_short_items_in_long_texts(spark):
+    long = prose(5, 400).split()
+    items = {n: " ".join(["only", "here", "and", "now"][:n]) for n in (1, 2, 3, 4)}
+    docs = [(n, " ".join(long[:200] + [t.upper() + ","] + long[200:])) for n, t in items.items()]
+    docs += [(9, " ".join(long)), (10, " ".join(long + ["now", "and", "here"])), (11, "only")]
+    bench = spark.createDataFrame([*items.items(), (20, " ".join(long[50:80]))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.item_shingles, r.found) for r in contaminated(frame(spark, docs), bench).collect()}
+    assert {x for x in got if x[1] < 20} == {(d, i, 1, 1) for d in items for i in items if i <= d} | {(11, 1, 1, 1)}
+    assert {x[0] for x in got if x[1] == 20} == {1, 2, 3, 4, 9, 10}
+    assert {r.doc_id for r in drop_contaminated(frame(spark, docs), bench.where("item_id < 20")).collect()} == {9, 10}
+
+
 def test_quality_on_held_out_rows(spark, sf):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     r = quality_scores(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
