@@ -24,8 +24,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the largest id of each group of equal texts."""
-    return drop_exact_duplicates(docs)
+    """Keeps one row with the largest id of each group of equal texts, however often it was loaded."""
+    return drop_exact_duplicates(docs, one_row=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

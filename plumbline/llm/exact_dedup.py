@@ -64,12 +64,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, prefix_chars: int = PREFIX_CHARS, one_row: bool = False) -> DataFrame:
     """``docs`` with all its columns, without the rows that :func:`exact_dedup` does not keep.
 
-    Rows that repeat the kept id with the kept text all stay.
+    Rows that repeat the kept id with the kept text all stay, or one of them with ``one_row``; only
+    such rows are shuffled for it.
     """
     verdict = exact_dedup(docs, id_col, text_col, prefix_chars=prefix_chars)
     dropped = verdict.where("NOT kept").select(F.col("doc_id").alias("_drop_id"), F.col("text_sha256").alias("_drop_sha")).distinct()
     sha = F.sha2(lower_ascii(docs[text_col]), 256)
-    return docs.join(dropped, docs[id_col].eqNullSafe(F.col("_drop_id")) & (sha == F.col("_drop_sha")), "left_anti")
+    same = docs[id_col].eqNullSafe(F.col("_drop_id")) & (sha == F.col("_drop_sha"))
+    if not one_row:
+        return docs.join(dropped, same, "left_anti")
+    kept = verdict.where("kept AND group_size > 1").groupBy(F.col("doc_id").alias("_drop_id"), F.col("text_sha256").alias("_drop_sha"))
+    repeated = kept.agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_drop_id", "_drop_sha")
+    once = docs.join(repeated, same, "left_semi").withColumn("_sha", sha).dropDuplicates([id_col, "_sha"]).drop("_sha")
+    return docs.join(dropped.union(repeated), same, "left_anti").union(once)

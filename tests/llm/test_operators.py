@@ -76,6 +76,17 @@ def test_exact_dedup(spark, corpus):
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted((w[0] for w in want if w[3]), key=repr)
 
 
+def test_pipeline_keeps_one_of_rows_loaded_many_times(spark, corpus):
+    import corpus_pipeline as P
+
+    rows = [*corpus, *[(50, prose(6, 40))] * 3, (49, prose(6, 40).upper()), (50, prose(8, 40)), (None, "lost"), (None, "lost")]
+    out = dict(P.STAGES)["exact_dedup"](spark, frame(spark, rows), "")
+    assert out.columns == frame(spark, EMPTY).columns
+    texts = {low(t) for _, t in rows}
+    want = [(max((j for j, u in rows if low(u) == t and j is not None), default=None), t) for t in texts]
+    assert sorted(((r.doc_id, low(r.text)) for r in out.collect()), key=repr) == sorted(want, key=repr)
+
+
 def brute_components(rows, k, num, den):
     sets = {}
     for i, t in rows:
