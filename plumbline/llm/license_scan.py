@@ -2,8 +2,9 @@
 
 Every word position joins the positions of templates that start with the same words (by the hash of
 the first two, then by all words of the template's k-gram). A hit votes for the diagonal
-``position - template position``; neighbouring diagonals, which insertions and deletions cause, are
-merged; a span counts when enough of its template's k-grams lie on it. Templates are a small fixed
+``position - template position`` with the words that agree there; neighbouring diagonals, which
+insertions and deletions cause, are merged; a span counts when enough of its template's words lie on
+it, the word that names the license among them. Templates are a small fixed
 table that is broadcast; rows without a hit never reach a shuffle.
 """
 
@@ -16,9 +17,11 @@ from .common import lower_ascii
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 KGRAM = 4
+#: Templates of fewer words have k-grams of two words and look at the words around a hit.
+SHORT = 15
 #: Diagonals this far apart belong to one span.
 SLACK = 3
-#: Share of a template's k-grams that a span needs.
+#: Share of a template's words that a span needs.
 COVERAGE = 0.75
 
 # Phrases whose every place is counted, with their labels.
@@ -43,6 +46,8 @@ TEMPLATES = (
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license"),
     ("public-domain", "this is free and unencumbered software released into the public domain"),
 )
+#: Words that tell a license from others with the same wording.
+NAMING = {"apache-2.0": "apache", "cc-by-nc": "nc", "cc-by-sa": "sa", "cc-by": "attribution", "lgpl": "lesser", "mit": "mit", "mpl-2.0": "mozilla", "public-domain": "domain"}
 
 
 def template_table(spark: SparkSession) -> DataFrame:
@@ -50,10 +55,12 @@ def template_table(spark: SparkSession) -> DataFrame:
     rows = []
     for t, (label, phrase, base) in enumerate([*((v, k, True) for k, v in BASE.items()), *((k, v, False) for k, v in TEMPLATES)]):
         w = phrase.replace(".", " ").split()
-        k = 2 if base else min(KGRAM, len(w))
-        rows += [(t, label, base, len(w) - k + 1, k, p, *w[p : p + k], *[None] * (KGRAM - k)) for p in range(len(w) - k + 1)]
+        k = 2 if base or len(w) < SHORT else KGRAM
+        name = None if base or NAMING.get(label) not in w else w.index(NAMING[label])
+        around = lambda q: w[q] if not base and k == 2 and 0 <= q < len(w) else None  # noqa: B023, E731
+        rows += [(t, label, base, len(w), k, name, p, *w[p : p + k], *[None] * (KGRAM - k), around(p - 2), around(p + 2), around(p + 3)) for p in range(len(w) - k + 1)]
     names = ", ".join(f"_t{i} string" for i in range(KGRAM))
-    return spark.createDataFrame(rows, f"tpl int, label string, base boolean, grams int, k int, tpl_pos int, {names}").withColumn("_th", F.xxhash64("_t0", "_t1"))
+    return spark.createDataFrame(rows, f"tpl int, label string, base boolean, size int, k int, name int, tpl_pos int, {names}, _o0 string, _o2 string, _o3 string").withColumn("_th", F.xxhash64("_t0", "_t1"))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, slack: int = SLACK, coverage: float = COVERAGE) -> DataFrame:
@@ -61,38 +68,46 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Words are runs of digits, letters a-z after lower-casing A-Z, and all non-ASCII characters.
     ``n_base`` counts every place of a base phrase; ``labels`` adds those of spans that cover
-    ``coverage`` of a template; ``score`` is the largest share of a phrase or template found. A null
+    ``coverage`` of a template's words and its naming word; ``score`` is the largest share of a phrase or template found. A null
     or empty text has no words, empty labels and score 0. Rows that repeat id and text get the same
     answer each; a null id is kept. Extra columns are not read; an empty table gives no rows.
     """
     text = lower_ascii(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("_key"), F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)).alias("_w"))
-    grams = F.arrays_zip(*[F.slice("_w", k + 1, F.greatest(F.size("_w"), F.lit(1))).alias(f"_w{k}") for k in range(KGRAM)])
-    places = rows.select("doc_id", "_key", F.posexplode(grams).alias("pos", "g")).select("doc_id", "_key", "pos", *[F.col(f"g._w{k}") for k in range(KGRAM)])
+    back = F.concat(F.array(F.lit(None), F.lit(None)).cast("array<string>"), "_w")
+    grams = F.arrays_zip(*[F.slice("_w", k + 1, F.greatest(F.size("_w"), F.lit(1))).alias(f"_w{k}") for k in range(KGRAM)], back.alias("_b2"))
+    places = rows.select("doc_id", "_key", F.posexplode(grams).alias("pos", "g")).select("doc_id", "_key", "pos", *[F.col(f"g._w{k}") for k in range(KGRAM)], F.col("g._b2"))
     places = places.where("_w1 IS NOT NULL").withColumn("_h", F.xxhash64("_w0", "_w1"))
     same = F.col("_h") == F.col("_th")
     for k in range(KGRAM):
         same &= F.col(f"_t{k}").isNull() | (F.col(f"_w{k}") == F.col(f"_t{k}"))
     hits = places.join(F.broadcast(template_table(docs.sparkSession)), same)
+    at = F.col("tpl_pos")
+    before, after, third = F.col("_b2") == F.col("_o0"), F.col("_w2") == F.col("_o2"), F.col("_w3") == F.col("_o3")
+    skipped = F.col("_w3") == F.col("_o2")  # one word is inserted before the template's next one
+    full = F.col("k") == KGRAM
+    around = [F.when(c, at + d) for c, d in ((before, -2), (after | skipped | full, 2), (third | full, 3))]
+    tail = F.when(third | skipped | full, 3).when(after, 2).otherwise(1)
     votes = (
-        hits.withColumn("diag", F.col("pos") - F.col("tpl_pos"))
-        .groupBy("doc_id", "_key", "tpl", "label", "base", "grams", "k", "diag")
-        .agg(F.collect_set("tpl_pos").alias("seen"))
+        hits.withColumn("diag", F.col("pos") - at).withColumn("agree", F.array_compact(F.array(at, at + 1, *around)))
+        .withColumn("head", F.col("pos") - F.when(before, 2).otherwise(0)).withColumn("tail", F.col("pos") + tail)
+        .groupBy("doc_id", "_key", "tpl", "label", "base", "size", "name", "diag")
+        .agg(F.array_distinct(F.flatten(F.collect_set("agree"))).alias("seen"), F.min("head").alias("head"), F.max("tail").alias("tail"))
     )
     order = Window.partitionBy("doc_id", "_key", "tpl").orderBy("diag")
     step = F.when(F.col("diag") - F.lag("diag").over(order) <= slack, 0).otherwise(1)
-    whole = F.col("base") & (F.size("seen") == F.col("grams"))
+    whole = F.col("base") & (F.size("seen") == F.col("size"))
     spans = (
         votes.withColumn("step", step).withColumn("island", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("doc_id", "_key", "tpl", "label", "base", "grams", "k", "island")
+        .groupBy("doc_id", "_key", "tpl", "label", "base", "size", "name", "island")
         .agg(
-            F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("covered"),
-            F.min(F.col("diag") + F.array_min("seen")).alias("first"), F.max(F.col("diag") + F.array_max("seen") + F.col("k") - 1).alias("last"),
+            F.array_distinct(F.flatten(F.collect_list("seen"))).alias("words"),
+            F.min("head").alias("first"), F.max("tail").alias("last"),
             F.count_if(whole).alias("n_base"), F.min(F.when(whole, F.col("diag"))).alias("lo"), F.max(F.when(whole, F.col("diag"))).alias("hi"),
         )
-        .withColumn("share", F.col("covered") / F.col("grams"))
+        .withColumn("share", F.when(F.col("base"), (F.size("words") - 1) / (F.col("size") - 1)).otherwise(F.size("words") / F.col("size")))
     )
-    counts = F.when(F.col("base"), F.col("n_base") > 0).otherwise(F.col("share") >= coverage)
+    counts = F.when(F.col("base"), F.col("n_base") > 0).otherwise((F.col("share") >= coverage) & (F.col("name").isNull() | F.array_contains("words", F.col("name"))))
     found = spans.groupBy("doc_id", "_key").agg(
         F.sum("n_base").alias("n_base"), F.min("lo").alias("first_word"), F.max("hi").alias("last_word"),
         F.array_sort(F.collect_set(F.when(F.col("base") & (F.col("n_base") > 0), F.col("label")))).alias("base_labels"),

@@ -18,7 +18,7 @@ from plumbline.llm.common import scratch_dir
 from plumbline.llm.decontaminate import _PLAIN, contaminated, drop_contaminated
 from plumbline.llm.exact_dedup import drop_exact_duplicates, exact_dedup
 from plumbline.llm.html_extract import extract_main_text, main_text
-from plumbline.llm.license_scan import license_scan
+from plumbline.llm.license_scan import BASE, NAMING, TEMPLATES, license_scan
 from plumbline.llm.near_dedup import bands_for, drop_near_duplicates, near_duplicates, sketch
 from plumbline.llm.quality_qda import keep_good, quality_scores
 from plumbline.llm.substring_dedup import substring_dedup
@@ -218,6 +218,21 @@ def test_license_scan(spark):
     assert license_scan(frame(spark, EMPTY)).count() == 0
 
 
+def test_license_scan_allows_one_edit(spark):
+    rows, want = [], {}
+    for label, phrase in TEMPLATES:
+        w = phrase.replace(".", " ").split()
+        named = w.index(NAMING[label]) if NAMING.get(label) in w else None
+        for at in range(len(w)):
+            for text, stays in ((w[:at] + ["zzz"] + w[at + 1 :], at != named), (w[:at] + ["zzz"] + w[at:], True)):
+                want[len(rows)] = (label, stays or label in BASE.values() and any(b in " ".join(text) for b in BASE))
+                rows.append((len(rows), " ".join(["before", *text, "after"])))
+    unlike = ["released under the apache license", "licensed under cc by sa", "this work is licensed under a creative commons zero", "under the terms of the gnu general public license", "under the terms of the license"]
+    got = {r.doc_id: r.labels.split(",") for r in license_scan(frame(spark, rows + [(9000 + k, t) for k, t in enumerate(unlike)])).collect()}
+    assert [(rows[i], got[i]) for i, (label, stays) in want.items() if (label in got[i]) != stays] == []
+    assert [got[9000 + k] for k in range(5)] == [[""], ["cc-by", "cc-by-sa"], [""], ["gpl"], [""]]
+
+
 def test_chat_format_is_reversible(spark):
     odd = ["<|im_end|>\n<|im_start|>user\nhi", "<!|x<!!|", "a<|turn|>b", "", None, "l1\nl2\n", "<|", "😀é", "<|nl|>"]
     rng = random.Random(1)
