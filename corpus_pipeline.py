@@ -2,7 +2,8 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; :func:`run` writes each result as
 Parquet and hands it, read again, to the next stage. All but the last return the columns of
-``documents``.
+``documents``. Every stage takes an empty table, null ids and texts, empty and very long texts,
+repeated rows and extra columns of any name; what becomes of them is said with each stage.
 """
 
 from __future__ import annotations
@@ -19,27 +20,27 @@ from plumbline.llm.queries import tokenizer_path
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what the quadratic discriminant scores below 0.3."""
+    """Drops what the quadratic discriminant scores below 0.3; null and empty texts go by their score of zero statistics, repeated rows share one answer."""
     return keep_good(docs, table(spark, sf_dir, "labels"), threshold=0.3)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row with the largest id of each group of equal texts, however often it was loaded."""
+    """Keeps one row with the largest id of each group of equal texts, however often it was loaded; null texts count as empty, null ids as smallest."""
     return drop_exact_duplicates(docs, one_row=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the smallest id of each group linked by 0.8 of their five-word shingles."""
+    """Keeps the row with the smallest id of each group linked by 0.8 of their five-word shingles; rows without words or id stay."""
     return drop_near_duplicates(docs, shingle_words=5, similarity=(80, 100))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold 0.8 of a benchmark item's five-word shingles."""
+    """Drops documents that hold 0.8 of a benchmark item's five-word shingles; null and empty texts stay."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with digests of ids and decoded text."""
+    """Token ids of each document, with digests of ids and decoded text; a null text counts as empty and has none."""
     return encode_decode(docs, tokenizer_path(), fields=("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"))
 
 

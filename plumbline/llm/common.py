@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -12,6 +13,8 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Keys of a few dozen bytes that a broadcast may hold; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -25,15 +28,31 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder name in the shared folder of ``spark.checkpoint.dir``.
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with underscores before it until no column of ``taken`` is called so."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name = f"_{name}"
+    return name
 
-    Only where that setting is missing (tests, a single machine) a local folder takes its place.
-    """
+
+def _scratch_root(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\[\]]*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines share; a local one loses data with the master {master}")
         base = os.path.join(tempfile.gettempdir(), "plumbline-scratch")
-    return f"{base.rstrip('/')}/plumbline/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/plumbline/{spark.sparkContext.applicationId}"
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder name of this application in the shared folder of ``spark.checkpoint.dir``.
+
+    Only where that setting is missing on a single machine a local folder takes its place; a cluster
+    without it is an error.
+    """
+    return f"{_scratch_root(spark)}/{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -48,12 +67,16 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Deletes every scratch folder that :func:`materialise` and the writers have left."""
-    root = scratch_dir(spark).rsplit("/", 1)[0]
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    """Deletes what :func:`materialise` and the writers of this application have left; other applications keep theirs."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sized(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of short keys, marked for broadcast only if its counted rows are at most ``most``."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     """The Arrow file system and path of a URI or a plain path."""
     return fs.FileSystem.from_uri(uri) if ":/" in uri else (fs.LocalFileSystem(), uri)

@@ -208,15 +208,18 @@ def drop_contaminated(
 ) -> DataFrame:
     """``docs`` with all its columns, without the rows whose text contains a benchmark item.
 
-    Each block of items filters the rows where they are read, so no text is shuffled.
+    Nulls, empty and long texts, ties, repeats and empty tables count as in :func:`contaminated`: a
+    null or empty text stays, repeated rows get one answer each, without items all rows stay. Columns
+    may have any name. Each block of items filters the rows where they are read, so no text is shuffled.
     """
     ship(docs.sparkSession)
+    at = docs.columns.index(text_col)
 
     def keep(block):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items, seeds = block.value, _seeds(coordinates)
             for b in batches:
-                clean = [not found_in_text(t, shingle_words, items, seeds, share) for t in pc.cast(b.column(text_col), pa.binary()).to_pylist()]
+                clean = [not found_in_text(t, shingle_words, items, seeds, share) for t in pc.cast(b.column(at), pa.binary()).to_pylist()]
                 yield b.filter(pa.array(clean, pa.bool_()))
 
         return run

@@ -25,10 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, ship
+from .common import fresh, materialise, ship, sized
 from .textkit import U, mix64, shingle_set
 
 ROWS_PER_BAND = 5
+#: Pairs of one node, or texts of one shingle, that a task takes.
+PART = 1000
 
 
 def bands_for(share: float, rows: int = ROWS_PER_BAND, miss: float = 1e-6) -> int:
@@ -75,7 +77,7 @@ def _sketcher(k: int, bands: int, rows: int) -> Callable:
                 band.append(band_hashes(sketch(s, bands * rows), bands, rows) if len(s) else np.empty(0, np.int64))
             flat = np.concatenate(band) if band else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in band])]).astype(np.int32), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), lists], ["doc_id", "n", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), lists], ["doc_id", "th", "n", "sig", "bands"])
 
     return run
 
@@ -120,9 +122,13 @@ def components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("left_text"))
+    """The pairs that are similar enough; a node of many pairs has its text sent to several tasks, each with a part of them."""
+    often = materialise(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where(f"c > {PART}").select("a", F.ceil(F.col("c") / PART).cast("int").alias("parts")))
+    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("left_text")).join(often, "a", "left")
+    left = left.select("a", "left_text", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
     right = texts.select(F.col("rep").alias("b"), F.col("text").alias("right_text"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "left_text", "right_text").mapInArrow(_verifier(k, num, den), "a long, b long")
+    dealt = materialise(pairs.join(often, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part")))
+    return dealt.join(right, "b").join(left, ["a", "part"]).select("a", "b", "left_text", "right_text").mapInArrow(_verifier(k, num, den), "a long, b long")
 
 
 def _shingle_rows(k: int) -> Callable:
@@ -156,17 +162,19 @@ def _rare_pairs(texts: DataFrame, members: DataFrame, comps: DataFrame, k: int,
     own begins with those and so meets nobody, however large its bucket.
     """
     shingles = materialise(texts.join(members, "rep", "left_semi").mapInArrow(_shingle_rows(k), "s long, rep long, n long"))
-    often = shingles.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    often = materialise(shingles.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))  # written, so that the join below can be split
     at = F.row_number().over(Window.partitionBy("rep").orderBy("own", "df", "s"))
     up_to = lambda top, low: F.expr(f"n - ((({top}) * n + {low} - 1) div ({low})) + 1")
     # a shingle of one text alone takes its place in the order but can be shared with nobody
     ranked = shingles.join(often, "s", "left").withColumn("own", F.col("df").isNotNull()).withColumn("at", at)
     first = ranked.where(F.col("own") & (F.col("at") <= up_to(num, den))).withColumn("short", F.col("at") <= up_to(2 * num, num + den))
-    first = first.join(comps, "rep", "left").select("s", "rep", "n", "at", "short", F.coalesce("comp", "rep").alias("comp"))
-    mixed = first.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("s")
-    first = materialise(first.join(mixed, "s", "left_semi"))
-    small = first.where("short").select("s", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "at", "comp")])
-    met = first.join(small, "s").where(
+    first = materialise(first.join(comps, "rep", "left").select("s", "rep", "n", "at", "short", F.coalesce("comp", "rep").alias("comp")))
+    mixed = first.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count_if("short").alias("c")).where("lo <> hi AND c > 0")
+    mixed = materialise(mixed.select("s", F.ceil(F.col("c") / PART).cast("int").alias("parts")))
+    # the texts of a common shingle are dealt out in parts, and each part meets all of them
+    first = materialise(first.join(mixed, "s"))
+    small = first.where("short").select("s", F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("part"), *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "at", "comp")])
+    met = first.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(small, ["s", "part"]).where(
         f"comp <> comp2 AND n2 <= n AND {den} * n2 >= {num} * n AND {den + num} * (1 + least(n - at, n2 - at2)) >= {num} * (n + n2)"
     )
     return met.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
@@ -180,28 +188,40 @@ def near_duplicates(
 
     Words are runs without ASCII white space, A-Z lower-cased. A text's set is its distinct
     ``shingle_words``-word shingles; with fewer words it is the whole sequence as one. Null and empty
-    texts have an empty set and are linked with nothing. Two texts are linked when
-    ``den * intersection >= num * union`` on the full sets; components are the transitive closure,
-    named by their smallest id, and the row with that id is kept. Rows that repeat an id are one
-    node, known by its least text where the texts differ, and appear as often as in the input; a null
-    id is a component of its own, null and kept. ``id_col`` must hold integers. Extra columns are not read. An empty
-    table gives no rows.
+    texts have an empty set and are linked with nothing; long texts are read whole. Two texts are
+    linked when ``den * intersection >= num * union`` on the full sets; components are the transitive
+    closure, named by their smallest id, and rows with that id are kept. Rows of one id and set are
+    one node and appear as often as in the input; rows that repeat an id with another set are another
+    node, which may lie in another component. A null id is a component of its own, null and kept.
+    ``id_col`` must hold integers. Extra columns are not read. An empty table gives no rows.
+    """
+    keys, named = _components(docs, id_col, text_col, shingle_words, similarity, rows_per_band, bands)
+    out = keys.where("sig IS NOT NULL").select("doc_id", "n", "sig").join(named.select("sig", "component"), "sig", "left").select("doc_id", "n", "component")
+    out = out.union(keys.where("sig IS NULL").select("doc_id", "n", F.lit(None).cast("long")))
+    comp = F.when(F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), comp.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, similarity: tuple[int, int], rows_per_band: int, bands: int | None) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, th, n, sig`` of each row, and ``sig, component`` of each class of equal sets.
+
+    A class is a node with a number of its own, so ids that repeat with other texts mix nothing up;
+    its text is that of its smallest id, known by id and text hash.
     """
     ship(docs.sparkSession)
     num, den = similarity
     bands = bands or bands_for(num / den, rows_per_band)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    keys = materialise(rows.mapInArrow(_sketcher(shingle_words, bands, rows_per_band), "doc_id long, n long, sig binary, bands array<long>"))
-    # classes of equal sets, each with its smallest id
-    classes = materialise(
-        keys.where("sig IS NOT NULL AND doc_id IS NOT NULL").groupBy("sig").agg(F.min(F.struct("doc_id", "n", "bands")).alias("m"))
-        .select("sig", F.col("m.doc_id").alias("rep"), F.col("m.n").alias("n"), F.col("m.bands").alias("bands"))
-    )
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    keys = materialise(rows.mapInArrow(_sketcher(shingle_words, bands, rows_per_band), "doc_id long, th long, n long, sig binary, bands array<long>"))
+    # classes of equal sets, each with its smallest id; the numbers last because they are written
+    classes = keys.where("sig IS NOT NULL AND doc_id IS NOT NULL").groupBy("sig").agg(F.min(F.struct("doc_id", "th", "n", "bands")).alias("m"))
+    classes = materialise(classes.select("sig", F.monotonically_increasing_id().alias("rep"), F.col("m.doc_id").alias("least"), F.col("m.th").alias("th"), F.col("m.bands").alias("bands")))
     members = classes.select("rep", F.explode("bands").alias("h"))
     shared = members.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
     buckets = materialise(members.join(shared, "h").select("h", "rep"))
-    wanted = buckets.select("rep").distinct()
-    texts = materialise(rows.withColumnRenamed("doc_id", "rep").join(wanted, "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text")))
+    wanted = classes.join(buckets.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("least").alias("doc_id"), "th")
+    texts = materialise(rows.join(wanted, ["doc_id", "th"]).groupBy("rep").agg(F.min("text").alias("text")))
 
     # every member meets the hub of each of its buckets: the one that shares most buckets with most others
     sizes = buckets.groupBy("h").agg(F.count(F.lit(1)).alias("c"))
@@ -221,17 +241,28 @@ def near_duplicates(
         rest = materialise(rest.join(pairs, ["a", "b"], "left_anti").join(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
         if not rest.isEmpty():
             comps = components(edges.union(materialise(_verified(rest, texts, shingle_words, num, den))))
-    named = classes.select("sig", "rep")
+    named = classes.select("sig", "rep", "least")
     if comps is None:
-        named = named.select("sig", F.col("rep").alias("component"))
-    else:
-        named = named.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("comp", "rep").alias("component"))
-    out = keys.select("doc_id", "n", "sig").join(named, "sig", "left")
-    comp = F.when(F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), comp.eqNullSafe(F.col("doc_id")).alias("kept"))
+        return keys, named.select("sig", F.col("least").alias("component"))
+    lowest = named.join(comps.withColumnRenamed("node", "rep"), "rep").groupBy("comp").agg(F.min("least").alias("component"))
+    known = comps.join(lowest, "comp").select(F.col("node").alias("rep"), "component")
+    return keys, named.join(known, "rep", "left").select("sig", F.coalesce("component", "least").alias("component"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with all its columns and one row of each component, the one with the smallest id."""
-    dropped = near_duplicates(docs, id_col, text_col, **options).where("NOT kept").select(F.col("doc_id").alias("_drop_id")).distinct()
-    return docs.join(dropped, docs[id_col] == F.col("_drop_id"), "left_anti")
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle_words: int = 5, similarity: tuple[int, int] = (80, 100),
+    rows_per_band: int = ROWS_PER_BAND, bands: int | None = None,
+) -> DataFrame:
+    """``docs`` with all its columns and, of each component, only the rows with the smallest id.
+
+    Null and empty texts, null ids, long texts, ties, repeated rows and empty tables count as in
+    :func:`near_duplicates`: rows that repeat the smallest id of their component all stay, a null id
+    or a text without words always stays. Columns may have any name. Rows are dropped by id and text
+    hash, so a row that repeats a dropped id with a text of its own stays; the list of them is
+    broadcast where it is short by count, so texts are not shuffled, and joined by a shuffle else.
+    """
+    keys, named = _components(docs, id_col, text_col, shingle_words, similarity, rows_per_band, bands)
+    away = keys.where("sig IS NOT NULL AND doc_id IS NOT NULL").join(named, "sig").where("component <> doc_id")
+    key, th = fresh("_drop_id", docs.columns), fresh("_drop_th", docs.columns)
+    listed = sized(materialise(away.select(F.col("doc_id").alias(key), F.col("th").alias(th)).distinct()))
+    return docs.join(listed, (docs[id_col].cast("long") == F.col(key)) & (F.xxhash64(docs[text_col]) == F.col(th)), "left_anti")

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ship
+from .common import BROADCAST_ROWS, fresh, materialise, ship
 
 _LOWER = bytes(range(0x61, 0x7B))
 _UPPER = bytes(range(0x41, 0x5B))
@@ -67,7 +67,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, x`` (array in the order of FEATURES) for every row."""
+    """``doc_id, x`` (array in the order of FEATURES) for every row, by its whole text.
+
+    Null, empty and blank texts have statistics of zero; repeated rows give a row each, null ids stay
+    null, extra columns are not read, and an empty table gives no rows.
+    """
     ship(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_features, f"doc_id {dict(docs.dtypes)[id_col]}, x array<double>")
 
@@ -162,19 +166,29 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = 0.3) -> DataFrame:
+def keep_good(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = 0.3, label_id: str = "doc_id", label: str = "quality",
+) -> DataFrame:
     """``docs`` with all its columns, without the rows that the classifier rejects.
 
-    Rows are scored where they are read, so no text is shuffled.
+    Every row is scored by its own whole text where it is read, so no text is shuffled; a null or
+    empty text has statistics of zero and stays or goes by their score, repeated rows get one answer,
+    a null id is scored like any other. Columns of both tables may have any name; an empty table
+    gives no rows, and without labels all rows score 0.5. The model learns from the labelled rows of
+    :func:`fit`.
     """
-    known = labels.select("doc_id", "quality").where(F.col("quality").isin(0, 1))
-    stats = document_statistics(docs.join(known.select(F.col("doc_id").alias("_label_id")).distinct(), docs[id_col] == F.col("_label_id"), "left_semi"), id_col, text_col)
-    model = fit(materialise(stats), known)
+    key = fresh("_label_id", docs.columns)
+    known = materialise(labels.where(training_rows(F.col(label_id)) & F.col(label).isin(0, 1)).select(F.col(label_id).alias(key)).distinct())
+    rows = docs.where(training_rows(docs[id_col]))
+    if known.count() <= BROADCAST_ROWS:  # else the statistics of all rows meet the labels, not their texts
+        rows = rows.join(F.broadcast(known), docs[id_col] == F.col(key), "left_semi")
+    model = fit(materialise(document_statistics(rows, id_col, text_col)), labels, label_id=label_id, label=label)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = np.array([statistics(t) for t in pc.cast(b.column(text_col), pa.binary()).to_pylist()])
+                x = np.array([statistics(t) for t in pc.cast(b.column(at), pa.binary()).to_pylist()])
                 yield b.filter(pa.array(model.scores(x) >= threshold))
 
+    at = docs.columns.index(text_col)
     return docs.mapInArrow(run, docs.schema)

@@ -378,3 +378,91 @@ def test_pipeline(spark, sf):
     sets = [shingles(b) for b in bench]
     rows = [i for i, t in rows if not any(s and 10 * len(s & shingles(t)) >= 8 * len(s) for s in sets)]
     assert sorted(r.doc_id for r in P.run(spark, sf).collect()) == sorted(rows)
+
+
+CLASHING = "doc_id long, text string, _drop_id long, _DROP_SHAS string, _drop_th long, _sha string, _label_id long, _len int, _head long, label int, x int, rep long, quality int"
+
+
+def clashing(spark, rows):
+    return spark.createDataFrame([(i, t, 1, "a", 2, "b", 3, 4, 5, 6, 7, 8, 9) for i, t in rows], CLASHING)
+
+
+def test_rows_that_repeat_an_id_with_another_text(spark):
+    t, u = prose(51, 90), prose(52, 90)
+    rows = [(1, t), (2, t), (2, u), (3, u + " end"), (4, t + " end"), (4, prose(53, 90)), (4, prose(53, 90)), (None, t), (5, None), (5, None), (6, " ")]
+    got = sorted(map(tuple, near_duplicates(frame(spark, rows)).collect()), key=repr)
+    n = lambda text: len(words_of(text)) - 4
+    want = [(1, n(t), 1, True), (2, n(t), 1, False), (2, n(u), 2, True), (3, n(u) + 1, 2, False), (4, n(t) + 1, 1, False), *[(4, n(prose(53, 90)), 4, True)] * 2, (None, n(t), None, True), *[(5, 0, 5, True)] * 2, (6, 0, 6, True)]
+    assert got == sorted(want, key=repr)
+    kept = drop_near_duplicates(clashing(spark, rows))
+    assert kept.columns == clashing(spark, EMPTY).columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(1, t), (2, u), *[(4, prose(53, 90))] * 2, (None, t), (5, None), (5, None), (6, " ")], key=repr)
+    three = drop_near_duplicates(frame(spark, [(1, t), (2, t), (2, u)]))
+    assert sorted((r.doc_id, r.text) for r in three.collect()) == sorted([(1, t), (2, u)])
+
+
+ODD = [(1, "Some text"), (2, "some TEXT"), (2, None), (3, ""), (3, None), (None, "some text"), (None, "lost"), (None, "lost"), (4, prose(54, 60)), (4, prose(54, 60)), (5, prose(54, 60) + " more"), (6, prose(55, 60_000)), (7, prose(55, 60_000))]
+
+
+@pytest.mark.parametrize("stage", ["quality_classifier", "exact_dedup", "near_dedup", "decontamination", "bpe_tokens"])
+def test_every_stage_takes_odd_rows(spark, sf, stage):
+    """Nulls, empty, repeated and very long texts, empty tables and columns with the names that stages use inside."""
+    import corpus_pipeline as P
+
+    run = dict(P.STAGES)[stage]
+    docs = clashing(spark, ODD)
+    out = run(spark, docs, sf)
+    got = sorted((tuple(r) for r in out.collect()), key=repr)
+    assert run(spark, docs.limit(0), sf).count() == 0
+    if stage == "bpe_tokens":
+        assert sorted((r[0] for r in got), key=repr) == sorted((i for i, _ in ODD), key=repr)
+        return
+    assert out.columns == docs.columns
+    pairs = [(r[0], r[1]) for r in got]
+    assert all(r[2:] == (1, "a", 2, "b", 3, 4, 5, 6, 7, 8, 9) for r in got)
+    if stage == "exact_dedup":
+        want = [(2, "some TEXT"), (3, ""), (None, "lost"), (4, prose(54, 60)), (5, prose(54, 60) + " more"), (7, prose(55, 60_000))]
+        assert sorted(((i, t or "") for i, t in pairs), key=repr) == sorted(want, key=repr)
+    elif stage == "near_dedup":
+        want = [r for r in ODD if r[0] not in (5, 7) and r != (2, "some TEXT")]
+        assert pairs == sorted(want, key=repr)
+    elif stage == "decontamination":
+        assert pairs == sorted(ODD, key=repr)
+    else:
+        assert set(pairs) <= set(ODD)
+        assert all(pairs.count(p) == ODD.count(p) for p in pairs)
+
+
+def test_shuffle_joins_give_what_broadcasts_give(spark, corpus, monkeypatch):
+    from plumbline.llm import common, quality_qda
+
+    rows = [*corpus, *[(50, prose(6, 40))] * 3, (49, prose(6, 40).upper())]
+    calls = (exact_dedup, drop_exact_duplicates, lambda d: drop_exact_duplicates(d, one_row=True), drop_near_duplicates)
+    few = [sorted(map(str, f(frame(spark, rows)).collect())) for f in calls]
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    good = keep_good(docs, labels).count()
+    monkeypatch.setattr(common.sized, "__defaults__", (-1,))
+    monkeypatch.setattr(quality_qda, "BROADCAST_ROWS", -1)
+    assert [sorted(map(str, f(frame(spark, rows)).collect())) for f in calls] == few
+    assert keep_good(docs, labels).count() == good
+
+
+def test_full_hash_stands_above_the_refinement(spark, corpus):
+    from plumbline.llm.exact_dedup import duplicate_groups
+
+    plan = duplicate_groups(frame(spark, corpus))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    below = [line for line in plan[next(k for k, line in enumerate(plan) if "LeftSemi" in line) + 1 :] if "sha2" in line]
+    assert below == []
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    session = lambda master, base: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: base), sparkContext=SimpleNamespace(master=master, applicationId="app-1"))
+    assert scratch_dir(session("spark://host:7077", "hdfs://x/")).startswith("hdfs://x/plumbline/app-1/")
+    for master in ("local", "local[4]", "local[*, 3]"):
+        assert "/plumbline/app-1/" in scratch_dir(session(master, None))
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            scratch_dir(session(master, None))
