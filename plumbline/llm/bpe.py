@@ -11,6 +11,7 @@ of the vocabulary.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from array import array
 from collections.abc import Iterator
@@ -19,12 +20,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, n_partitions, scratch_dir, ship
+from .common import bundle, n_partitions, read_file, scratch_dir, ship, unbundle, write_once
 
 #: A space between two characters that are no white space, separator or control.
 WORD_SPLIT = r"(?<=[^\s\p{Z}\p{C}]) (?=[^\s\p{Z}\p{C}])"
@@ -54,6 +54,22 @@ def load_tokenizer(path: str):
     return t
 
 
+#: What a tokenizer file must say for its texts to be cut by PRE_TOKENS and decoded piece by piece; fixed values.
+CUTS = {
+    "normalizer": {}, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}, "decoder": {"type": "ByteLevel"},
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False},
+}
+
+
+@lru_cache(maxsize=4)
+def cuts_words(path: str) -> bool:
+    """Whether the file is a byte-level BPE as this module cuts it; texts of other tokenizers are encoded and decoded whole by the library."""
+    d = json.loads(load_tokenizer(path).to_str())
+    plain = all(not t[k] for t in d["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    # an empty string is how the library writes an unset prefix or suffix
+    return plain and all((d.get(part) or {}).get(k, v) in (v, "" if v is None else v) for part, wants in CUTS.items() for k, v in wants.items()) and not d["normalizer"] and bool(d["pre_tokenizer"]) and bool(d["decoder"])
+
+
 @lru_cache(maxsize=4)
 def vocabulary_pieces(path: str) -> pa.Array:
     """The id-to-piece table: bytes of each id, null for ids that the vocabulary lacks. Its size is the file's."""
@@ -89,7 +105,7 @@ class Recent(dict):
 class WordEncoder:
     """Ids of words and texts by the tokenizers library, the same as encoding the text at once.
 
-    Words without a special token's string are cut by the vocabulary's pattern, and the library's
+    Where :func:`cuts_words` fails, texts go through ``encode`` whole. Words without a special token's string are cut by the vocabulary's pattern, and the library's
     BPE model encodes each piece; pieces and words are remembered. All else goes through ``encode``.
     """
 
@@ -97,6 +113,7 @@ class WordEncoder:
         import regex
 
         self.tok = load_tokenizer(path)
+        self.plain = cuts_words(path)
         special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.special = (lambda text, s=special[0]: s in text) if len(special) == 1 else re.compile("|".join(map(re.escape, special)) or r"(?!)").search
         self.cut = regex.compile(PRE_TOKENS).findall
@@ -111,7 +128,7 @@ class WordEncoder:
 
     def ids(self, word: str) -> bytes:
         """Ids of a word that may have a space before it, as little-endian unsigned 32-bit numbers."""
-        if self.special(word):
+        if not self.plain or self.special(word):
             return np.array(self.tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         got = self.pieces
         if word[1:-1].isalpha():  # letters, with a space before and a mark behind at most: most words
@@ -121,7 +138,7 @@ class WordEncoder:
         return b"".join([got[p] for p in self.cut(word)])
 
     def encode(self, text: str) -> np.ndarray:
-        if self.special(text):
+        if not self.plain or self.special(text):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
         # words lie between single spaces unless white space meets white space there
         if "  " in text or " \n" in text or "\n " in text or not text.replace("\n", "").isprintable():
@@ -147,15 +164,6 @@ def _file(key: int) -> str:
     return f"pack-{key & (1 << 64) - 1:016x}"
 
 
-def _write_once(root: str, name: str, data: bytes) -> None:
-    fs, top = filesystem(root)
-    fs.create_dir(top, recursive=True)
-    own = f"{top}/.{name}-{hashlib.sha256(np.random.default_rng().bytes(16)).hexdigest()[:16]}"
-    with fs.open_output_stream(own) as f:
-        f.write(data)
-    fs.move(own, f"{top}/{name}")
-
-
 def _packer(root: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -175,15 +183,13 @@ def _packer(root: str):
             ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
             null = ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
             doc = ids.fill_null(0).to_numpy().astype("<i8")
-            comp = zstandard.ZstdCompressor(level=3)
-            parts = [comp.compress(x) for x in (doc.tobytes(), null.tobytes(), lengths.tobytes(), np.ascontiguousarray(at.view(np.uint8).reshape(-1, 4).T).tobytes())]
-            data = np.array([len(p) for p in parts], "<i8").tobytes() + b"".join(parts)
+            data = bundle([doc.tobytes(), null.tobytes(), lengths.tobytes(), np.ascontiguousarray(at.view(np.uint8).reshape(-1, 4).T).tobytes()])
             digest = hashlib.sha256(data)
             for b in coded.dictionary.buffers():
                 digest.update(b or b"")
             digest.update(f"{task} {made}".encode())  # equal packs of different tasks stay apart
             key = int.from_bytes(digest.digest()[:8], "little", signed=True)
-            _write_once(root, _file(key), data)
+            write_once(root, _file(key), data)
             n = len(coded.dictionary)
             bare = np.zeros(n, np.int32)
             bare[at[np.concatenate([[0], np.cumsum(lengths)[:-1]])]] = 1
@@ -218,16 +224,14 @@ def _encoder(path: str):
         last, spaced, bare = None, b"", None
 
         def flush() -> pa.RecordBatch:
-            comp = zstandard.ZstdCompressor(level=1)
             keys, blobs = [], []
             for key, rows in held.items():
                 rows.sort()
                 at = np.array([r[0] for r in rows], "<i4")
                 sizes = np.array([[len(r[1]) >> 2, len(r[2]) >> 2] for r in rows], "<i4")
                 body = [np.diff(at, prepend=np.int32(0)).astype("<i4"), sizes.reshape(-1), np.frombuffer(b"".join([x for r in rows for x in r[1:]]), "<i4")]
-                parts = [comp.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes()) for x in body]
                 keys.append(key)
-                blobs.append(np.array([len(p) for p in parts], "<i8").tobytes() + b"".join(parts))
+                blobs.append(bundle([np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes() for x in body], level=1))
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["pack", "blob"])
 
         for b in batches:
@@ -247,13 +251,6 @@ def _encoder(path: str):
     return run
 
 
-def _planes(blob: bytes, n: int) -> list[bytes]:
-    sizes = np.frombuffer(blob[: 8 * n], "<i8")
-    ends = np.cumsum(sizes) + 8 * n
-    dec = zstandard.ZstdDecompressor()
-    return [dec.decompress(blob[e - s : e]) for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
-
-
 def _ints(plane: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(plane, np.uint8).reshape(4, -1).T).view("<i4").reshape(-1)
 
@@ -265,7 +262,7 @@ def _restorer(root: str, path: str, fields: list[str]):
     def run(key: tuple, group: pa.Table) -> pa.Table:
         at, sizes, ids = [], [], []
         for blob in group.column("blob").to_pylist():
-            a, s, i = map(_ints, _planes(blob, 3))
+            a, s, i = map(_ints, unbundle(blob, 3))
             at.append(np.cumsum(a))
             sizes.append(s)
             ids.append(i)
@@ -275,15 +272,18 @@ def _restorer(root: str, path: str, fields: list[str]):
         flat = pa.array(np.concatenate(ids))
         offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
         csv = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), pc.cast(flat, pa.string())), ",").to_pylist()
-        pieces = pc.take(vocabulary_pieces(path), flat)
-        raw = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), pieces), b"").to_pylist()
-        where = np.empty(int(at.max()) + 1, np.int64)
+        if cuts_words(path):
+            raw = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), pc.take(vocabulary_pieces(path), flat)), b"").to_pylist()
+        else:  # a word is a text
+            raw = [load_tokenizer(path).decode(x, skip_special_tokens=False).encode() for x in pa.ListArray.from_arrays(pa.array(offsets), flat).to_pylist()]
+        doc, null, lengths, words = unbundle(read_file(root, _file(key[0].as_py())), 4)
+        words = _ints(words)
+        where = np.full(int(max(at.max(), words.max(initial=0))) + 1, -1, np.int64)
         where[at] = np.arange(len(at))  # an id list sent twice by a retried task is the same list
-        fs, top = filesystem(root)
-        with fs.open_input_file(f"{top}/{_file(key[0].as_py())}") as f:
-            doc, null, lengths, words = _planes(f.read(), 4)
+        start, words = 0, where[words]
+        if words.min(initial=0) < 0:
+            raise RuntimeError("a pack lacks the ids of some of its words: its rows were dealt out in another order when a task was repeated")
         out: dict[str, list] = {c: [] for c in fields}
-        start, words = 0, where[_ints(words)]
         for d, none, n in zip(np.frombuffer(doc, "<i8").tolist(), null, np.frombuffer(lengths, "<i8").tolist(), strict=True):
             own = 2 * words[start : start + n] + 1
             start += n
@@ -312,7 +312,9 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     ship(spark)
     root = scratch_dir(spark)
-    split = docs.select(F.col(id_col).cast("long").alias("doc_id"), split_words(F.col(text_col)).alias("words"))
+    text = F.col(text_col)
+    words = split_words(text) if cuts_words(path) else F.array(F.coalesce(text, F.lit("")))
+    split = docs.select(F.col(id_col).cast("long").alias("doc_id"), words.alias("words"))
     names = split.mapInArrow(_packer(root), "pack long, at int, word string")
     sorted_names = names.repartition(n_partitions(spark), "word").sortWithinPartitions("word")
     encoded = sorted_names.mapInArrow(_encoder(path), "pack long, blob binary")

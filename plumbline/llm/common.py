@@ -9,6 +9,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import numpy as np
+import zstandard
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,6 +84,36 @@ def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if ":/" in uri else (fs.LocalFileSystem(), uri)
 
 
+def write_once(root: str, name: str, data: bytes) -> None:
+    """Writes a file under another name and moves it, so readers see all of it, and a repeated task replaces it by the same bytes."""
+    fs, top = filesystem(root)
+    fs.create_dir(top, recursive=True)
+    own = f"{top}/.{name}-{uuid.uuid4().hex}"
+    with fs.open_output_stream(own) as f:
+        f.write(data)
+    fs.move(own, f"{top}/{name}")
+
+
+def read_file(root: str, name: str) -> bytes:
+    fs, top = filesystem(root)
+    with fs.open_input_file(f"{top}/{name}") as f:
+        return f.read()
+
+
+def bundle(parts: list[bytes], level: int = 3) -> bytes:
+    """Several byte strings, each compressed, after their sizes."""
+    comp = zstandard.ZstdCompressor(level=level)
+    done = [comp.compress(p) for p in parts]
+    return np.array([len(p) for p in done], "<i8").tobytes() + b"".join(done)
+
+
+def unbundle(data: bytes, n: int) -> list[bytes]:
+    sizes = np.frombuffer(data[: 8 * n], "<i8")
+    ends = np.cumsum(sizes) + 8 * n
+    dec = zstandard.ZstdDecompressor()
+    return [dec.decompress(data[e - s : e]) for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
+
+
 def ship(spark: SparkSession) -> None:
     """Gives executors this package once per context, so that workers can import it anywhere."""
     sc = spark.sparkContext
@@ -98,22 +130,3 @@ def ship(spark: SparkSession) -> None:
 
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def text_bytes(docs: DataFrame, text_col: str) -> int:
-    """Total UTF-8 bytes of a text column, used to size blocks (one aggregate, nothing collected but it)."""
-    return int(docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long")).alias("b")).first()["b"] or 0)
-
-
-def blocked(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, *, id_name: str = "doc_id") -> DataFrame:
-    """``(id, text, block)`` with blocks of about ``block_bytes`` dealt by the hash of id and text.
-
-    The number of blocks follows the input, so a block stays bounded at any size. Copies of one text
-    under different ids spread over all blocks.
-    """
-    n = max(docs.sparkSession.sparkContext.defaultParallelism, -(-text_bytes(docs, text_col) // block_bytes))
-    return docs.select(
-        F.col(id_col).alias(id_name),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-        F.pmod(F.xxhash64(F.col(id_col), F.length(F.col(text_col))), F.lit(n)).cast("int").alias("block"),
-    )

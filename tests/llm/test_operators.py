@@ -466,3 +466,69 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
     for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
         with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
             scratch_dir(session(master, None))
+
+
+def test_substring_dedup_splits_hot_passages_and_requests(spark):
+    shared, other = prose(61, 130).split(), prose(62, 70).split()
+    rows = [(100 - k, " ".join(prose(700 + k, 30).split() + shared[k % 5 :] + prose(800 + k, 20).split() + (other if k % 3 else []))) for k in range(40)]
+    rows += [(200, " ".join(["same"] * 400)), (201, " ".join(["same"] * 120)), (202, " ".join(["same", "again"] * 90)), (203, prose(63, 40_000)), (204, prose(63, 40_000)), (205, None)]
+    run = lambda **o: sorted(map(tuple, substring_dedup(frame(spark, rows), shard_bytes=3000, with_text=False, **o).collect()))
+    owner: dict = {}
+    for i, t in sorted(rows):
+        w = words_of(t)
+        for p in range(len(w) - 49):
+            owner.setdefault(hash(tuple(w[p : p + 50])), i)
+    want = []
+    for i, t in sorted(rows):
+        w = words_of(t)
+        lost = {q for p in range(len(w) - 49) if owner[hash(tuple(w[p : p + 50]))] < i for q in range(p, p + 50)}
+        want.append((i, len(w), len(lost), hashlib.sha256(" ".join(x for q, x in enumerate(w) if q not in lost).encode()).hexdigest()))
+    assert sum(r[2] for r in want) > 40_000
+    assert run() == want
+    assert run(hot_packs=1, requests=50) == want
+
+
+def test_substring_dedup_is_decided_by_words(monkeypatch):
+    """Passages that hashes have chosen wrongly remove nothing; those of larger documents neither."""
+    from plumbline.llm.substring_dedup import Pack, locate
+
+    words = prose(64, 200).split()
+    pack = Pack.build([5, 7, None], [" ".join(words[:120]).encode(), " ".join(words[60:]).encode(), " ".join(words).encode()])
+    passage = " ".join(words[70:120]).encode()
+    assert locate(pack, [(4, passage)], 50, 12).nonzero()[0].tolist() == [*range(70, 120), *range(120 + 10, 120 + 60)]
+    assert locate(pack, [(5, passage)], 50, 12).nonzero()[0].tolist() == [*range(120 + 10, 120 + 60)]
+    assert not locate(pack, [(9, passage)], 50, 12).any()
+    broken = " ".join([*words[70:95], "other", *words[96:120]]).encode()
+    assert not locate(pack, [(4, broken)], 50, 12).any()
+
+
+def test_tokenizers_that_cannot_be_cut_are_used_whole(spark, corpus, path):
+    import public_tokenizers
+
+    from plumbline.llm.bpe import cuts_words
+
+    other = public_tokenizers.path("word_bpe_49k.json")
+    assert cuts_words(path) and not cuts_words(other)
+    tok, enc = load_tokenizer(other), WordEncoder(other)
+    rows = corpus[:12]
+    got = sorted(((r.doc_id, r.ids, r.decoded) for r in encode_decode(frame(spark, rows), other).collect()), key=repr)
+    want = []
+    for i, t in rows:
+        ids = tok.encode(t or "", add_special_tokens=False).ids
+        assert enc.encode(t or "").tolist() == ids
+        want.append((i, ",".join(map(str, ids)), tok.decode(ids, skip_special_tokens=False)))
+    assert got == sorted(want, key=repr)
+
+
+def test_packs_with_missing_ids_raise(spark, path, tmp_path):
+    import pyarrow as pa
+
+    from plumbline.llm.bpe import _file, _restorer
+    from plumbline.llm.common import bundle, write_once
+
+    planes = lambda x: np.ascontiguousarray(np.array(x, "<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    write_once(str(tmp_path), _file(1), bundle([np.array([7], "<i8").tobytes(), bytes(1), np.array([2], "<i8").tobytes(), planes([0, 1])]))
+    blob = bundle([planes([0]), planes([0, 1]), planes([11])])
+    group = pa.table({"pack": pa.array([1]), "blob": pa.array([blob], pa.binary())})
+    with pytest.raises(RuntimeError, match="lacks the ids"):
+        _restorer(str(tmp_path), path, ["doc_id", "ids"])((pa.scalar(1),), group)
