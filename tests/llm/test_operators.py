@@ -532,3 +532,75 @@ def test_packs_with_missing_ids_raise(spark, path, tmp_path):
     group = pa.table({"pack": pa.array([1]), "blob": pa.array([blob], pa.binary())})
     with pytest.raises(RuntimeError, match="lacks the ids"):
         _restorer(str(tmp_path), path, ["doc_id", "ids"])((pa.scalar(1),), group)
+
+
+def brute_license(text):
+    """The method in plain loops over one text: hits of k-grams, words that agree, merged diagonals, spans."""
+    from plumbline.llm import license_scan as L
+
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(text))
+    get = lambda x, k: x[k] if 0 <= k < len(x) else None
+    labels, base_labels, n_base, first, last, score = set(), set(), 0, None, None, 0.0
+    for label, phrase, base in [*((v, k, True) for k, v in BASE.items()), *((k, v, False) for k, v in TEMPLATES)]:
+        v = phrase.replace(".", " ").split()
+        k = 2 if base or len(v) < L.SHORT else L.KGRAM
+        diagonals: dict = {}
+        for p in range(len(w) - k + 1):
+            for q in range(len(v) - k + 1):
+                if w[p : p + k] == v[q : q + k]:
+                    seen = diagonals.setdefault(p - q, set())
+                    seen.update(range(q, q + k))
+                    if not base and k == 2:
+                        same = lambda a, b: get(w, p + a) is not None and get(w, p + a) == get(v, q + b)  # noqa: B023, E731
+                        seen.update([q - 2] * same(-2, -2) + [q + 2] * (same(2, 2) or same(3, 2)) + [q + 3] * same(3, 3))
+        whole = sorted(d for d, seen in diagonals.items() if base and len(seen) == len(v))
+        if whole:
+            base_labels.add(label)
+            labels.add(label)
+            n_base += len(whole)
+            first, last = min(whole[0], first if first is not None else whole[0]), max(whole[-1], last if last is not None else whole[-1])
+        islands: list = []
+        for d in sorted(diagonals):
+            if not islands or d - islands[-1][0] > L.SLACK:
+                islands.append([d, set()])
+            islands[-1][0] = d
+            islands[-1][1] |= diagonals[d]
+        for _, seen in islands:
+            share = (len(seen) - 1) / (len(v) - 1) if base else len(seen) / len(v)
+            score = max(score, share)
+            naming = L.NAMING.get(label)
+            if not base and share >= L.COVERAGE and (naming not in v or v.index(naming) in seen):
+                labels.add(label)
+    return len(w), n_base, first, last, ",".join(sorted(base_labels)), ",".join(sorted(labels)), round(score, 9)
+
+
+def test_license_scan_equals_plain_loops(spark, sf, corpus):
+    rng = random.Random(3)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [(1_000_000 + (i or 0), t) for i, t in corpus]
+    for n, (_, phrase) in enumerate(TEMPLATES):
+        w = phrase.split()
+        for k in range(4):
+            own = [x for x in w if rng.random() > 0.04 * k]
+            rows.append((2_000_000 + 10 * n + k, prose(n, 20) + " " + " ".join(own).upper() + ". " + prose(n + 50, 9) + " cc by, " + " ".join(w[:5])))
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, round(r.score, 9)) for r in license_scan(frame(spark, rows)).collect()}
+    assert got == {i: brute_license(t) for i, t in rows}
+    for i, t in rows:  # base places once more, without the method
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
+        assert got[i][1] == sum(words[p : p + len(b.split())] == b.split() for b in BASE for p in range(len(words)))
+    whole = {label for label, _ in TEMPLATES}
+    assert whole <= {x for v in got.values() for x in v[5].split(",")}
+
+
+def test_chat_format_folds_long_conversations_in_parts(spark):
+    rng = random.Random(7)
+    rows = [(c, t, rng.choice(["user", "assistant"]), f"t{t}<|") for c, n in ((1, 1500), (2, 512), (3, 513), (4, 1)) for t in range(n)]
+    out = format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    for r in out.collect():
+        want, before = "", None
+        for c, _, role, text in rows:
+            if c == r.conv_id:
+                want += ("" if before is None else "<|turn|>" if before == role else "<|im_end|>\n") + (f"<|im_start|>{role}\n" if before != role else "") + text.replace("<|", "<!|")
+                before = role
+        assert r.formatted == want + "<|im_end|>\n"
+        raw = r.formatted.encode()
+        assert [raw[s.start : s.start + s.size].decode() for s in r.loss_spans] == [t.replace("<|", "<!|") for c, _, role, t in rows if c == r.conv_id and role == "assistant"]
