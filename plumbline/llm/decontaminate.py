@@ -7,16 +7,18 @@ shingles lies whole in some window and has a similarity of at least about a fift
 MinHash values are compared with those of the class's items, coordinate by coordinate, and every
 candidate is confirmed by the exact share of the item's shingles found in the whole document.
 
-Documents are read once and never shuffled. Items are the stated query set: they are sketched in
-blocks of bounded size, each block is sent to the executors, and a larger benchmark means more
-blocks, not larger ones.
+Documents are read once and never shuffled. Items are the stated query set: they are dealt to blocks
+of bounded size and sketched in the cluster, a file for each block in the shared folder, which tasks
+read. The driver knows the number of blocks only; a larger benchmark means more blocks, not larger
+ones, and an item longer than a block is a block's work.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import read_file, scratch_dir, ship, write_once
 from .textkit import U, mix64, rolling, word_hashes
 
 COORDINATES = 64
@@ -154,20 +156,37 @@ def found_in_text(text: bytes | None, k: int, items: Items, seeds: np.ndarray, s
     return out
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, k: int, coordinates: int, block_shingles: int) -> list:
-    """Broadcast blocks of sketched items, each bounded by ``block_shingles``."""
-    sc = benchmark.sparkSession.sparkContext
-    out, held, size = [], [], 0
-    for r in benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i IS NOT NULL").toLocalIterator():
-        n = len((r.t or "").split())
-        if held and size + n > block_shingles:
-            out.append(sc.broadcast(Items.build(held, k, coordinates)))
-            held, size = [], 0
-        held.append((r.i, r.t))
-        size += n
-    if held:
-        out.append(sc.broadcast(Items.build(held, k, coordinates)))
-    return out
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, k: int, coordinates: int, block_shingles: int) -> Blocks:
+    """Sketches items where they are; blocks of about ``block_shingles``, by the hash of id and text."""
+    spark = benchmark.sparkSession
+    root = scratch_dir(spark)
+    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i IS NOT NULL")
+    words = rows.agg(F.sum(F.size(F.split("t", r"[^\w]+")).cast("long")).alias("n")).first()["n"] or 0
+    n = max(1, -(-words // block_shingles))
+
+    def build(key: tuple, group: pa.Table) -> pa.Table:
+        items = Items.build(list(zip(group.column("i").to_pylist(), group.column("t").to_pylist(), strict=True)), k, coordinates)
+        write_once(root, f"items-{key[0].as_py()}", pickle.dumps(items))
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32())})
+
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(n)).cast("int"))
+    return Blocks(root, sorted(r.block for r in dealt.groupBy("block").applyInArrow(build, "block int").collect()))
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """Files of sketched items; a worker keeps a few of them in memory."""
+
+    root: str
+    numbers: list[int]
+
+    def __iter__(self) -> Iterator[Items]:
+        return (_read_items(self.root, k) for k in self.numbers)
+
+
+@lru_cache(maxsize=2)
+def _read_items(root: str, block: int) -> Items:
+    return pickle.loads(read_file(root, f"items-{block}"))  # noqa: S301  written by item_blocks
 
 
 def contaminated(
@@ -187,18 +206,18 @@ def contaminated(
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = f"doc_id {dict(docs.dtypes)[id_col]}, item_id long, item_shingles long, found long"
 
-    def search(block):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items, seeds = block.value, _seeds(coordinates)
-            for b in batches:
-                hits = [(r, items.ids[i], n, both) for r, t in enumerate(pc.cast(b.column("text"), pa.binary()).to_pylist()) for i, n, both in found_in_text(t, shingle_words, items, seeds, share)]
+    blocks = item_blocks(benchmark, item_col, item_text, shingle_words, coordinates, block_shingles)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds = _seeds(coordinates)
+        for b in batches:
+            texts = pc.cast(b.column("text"), pa.binary()).to_pylist()
+            for items in blocks:
+                hits = [(r, items.ids[i], n, both) for r, t in enumerate(texts) for i, n, both in found_in_text(t, shingle_words, items, seeds, share)]
                 at, ids, n, both = (list(x) for x in zip(*hits, strict=True)) if hits else ([], [], [], [])
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), *(pa.array(x, pa.int64()) for x in (ids, n, both))], ["doc_id", "item_id", "item_shingles", "found"])
 
-        return rows.mapInArrow(run, out)
-
-    blocks = item_blocks(benchmark, item_col, item_text, shingle_words, coordinates, block_shingles)
-    pairs = reduce(DataFrame.union, map(search, blocks)) if blocks else docs.sparkSession.createDataFrame([], out)
+    pairs = rows.mapInArrow(search, out) if blocks.numbers else docs.sparkSession.createDataFrame([], out)
     return pairs.withColumn("containment", F.col("found") / F.col("item_shingles"))
 
 
@@ -210,20 +229,21 @@ def drop_contaminated(
 
     Nulls, empty and long texts, ties, repeats and empty tables count as in :func:`contaminated`: a
     null or empty text stays, repeated rows get one answer each, without items all rows stay. Columns
-    may have any name. Each block of items filters the rows where they are read, so no text is shuffled.
+    may have any name. Rows are judged where they are read, so no text is shuffled.
     """
     ship(docs.sparkSession)
     at = docs.columns.index(text_col)
 
-    def keep(block):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items, seeds = block.value, _seeds(coordinates)
-            for b in batches:
-                clean = [not found_in_text(t, shingle_words, items, seeds, share) for t in pc.cast(b.column(at), pa.binary()).to_pylist()]
-                yield b.filter(pa.array(clean, pa.bool_()))
-
-        return run
+    blocks = item_blocks(benchmark, item_col, item_text, shingle_words, coordinates, block_shingles)
 
-    for block in item_blocks(benchmark, item_col, item_text, shingle_words, coordinates, block_shingles):
-        docs = docs.mapInArrow(keep(block), docs.schema)
-    return docs
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds = _seeds(coordinates)
+        for b in batches:
+            texts = pc.cast(b.column(at), pa.binary()).to_pylist()
+            clean = np.ones(len(texts), bool)
+            for items in blocks:
+                for r in np.flatnonzero(clean).tolist():
+                    clean[r] = not found_in_text(texts[r], shingle_words, items, seeds, share)
+            yield b.filter(pa.array(clean))
+
+    return docs.mapInArrow(keep, docs.schema) if blocks.numbers else docs

@@ -2,8 +2,9 @@
 
 A page becomes a tree of elements. Paragraph-like blocks give points for length and commas to their
 parent, grandparent and further ancestors in falling shares; a container's points are discounted by
-the share of its text inside links. The best container is kept with those siblings that score alike
-or are prose, and its text is read block by block.
+the share of its text inside links. The best container is kept with its siblings, whatever their
+length, but for those that are mostly links and, next to an article or at the top of the page, those
+that nothing marks as its text; the text is read block by block.
 """
 
 from __future__ import annotations
@@ -44,14 +45,20 @@ LISTING = FOREIGN | frozenset("ad ads adv advert adverts advertisement advertise
 UNWANTED = LISTING | frozenset(
     "banner banners menu menus nav navs navbar navigation breadcrumb breadcrumbs foot footer footers header headers headingbar masthead cookie cookies consent gdpr notice notices alert alerts"
     " notification notifications newsletter newsletters subscribe subscription subscriptions signup login share shares sharing sharebar social socials popup popups modal modals overlay overlays"
-    " toolbar toolbars pagination pager tags tagcloud copyright disclaimer legal skip skiplink skiplinks hidden feedback form forms".split()
+    " toolbar toolbars pagination pager tags tagcloud copyright disclaimer legal skip skiplink skiplinks feedback form forms".split()
 )
+#: Class names, whole, of what is not shown; parts of names (``overflow-hidden``) say other things.
+UNSEEN = frozenset("hidden invisible d-none visually-hidden is-hidden sr-only screen-reader-text".split())
 #: What follows in the name says how the page is laid out (``has-sidebar``), not what the element is.
 LAYOUT = frozenset("has no with without".split())
 PART = re.compile(r"[_-]+|(?<=[a-z])(?=[A-Z])")
 UNWANTED_ROLE = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|$)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?")
+#: Attributes as browsers read them: quotes count after an equals sign only, and one that is never closed is part of the value.
+_ATTRIBUTES = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+"
+TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|$)|<([a-zA-Z][^\s/>]*)({_ATTRIBUTES})(?:>|$)", re.S)
+ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: A slash that closes its own element, and not one that ends an unquoted value.
+CLOSES_ITSELF = re.compile(r"(?:^|[\s\"'])/\s*$")
 #: A paragraph shorter than this gives no points.
 MIN_POINTS_CHARS = 20
 
@@ -74,7 +81,8 @@ class Node:
         if not self.attrs or self.tag in ("html", "body", "article", "main"):
             return False, None
         found = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(self.attrs)}
-        if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
+        classes = found.get("class", "").lower().split()
+        if "hidden" in found or not UNSEEN.isdisjoint(classes) or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
             return True, None
         parts = unwanted_parts(found.get("class", "")) | unwanted_parts(found.get("id", "")) if by_name else frozenset()
         if found.get("role", "").lower() in UNWANTED_ROLE:
@@ -82,6 +90,10 @@ class Node:
         return bool(parts), parts
 
 
+#: The end of a sentence: a mark after a word, not after a sign or a number alone.
+SENTENCE = re.compile(r"\w{2}[\"'”’)\]]*[.!?…。！？]")
+
+
 def unwanted_parts(names: str) -> frozenset[str]:
     out = set()
     for name in names.split():
@@ -109,7 +121,8 @@ def parse(html: str) -> Node:
         at = m.end()
         if m[2]:
             tag = m[2].lower()
-            if tag in RAW and not m[3].rstrip().endswith("/"):
+            own = bool(CLOSES_ITSELF.search(m[3]))
+            if tag in RAW and not own:
                 close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
                 if tag != "svg" or close:
                     at = close.end() if close else end
@@ -120,7 +133,7 @@ def parse(html: str) -> Node:
                 here = _close(here, *IMPLIED[tag])
             node = Node(tag, here, m[3])
             here.items.append(node)
-            if tag not in VOID and not m[3].rstrip().endswith("/"):
+            if tag not in VOID and not own:
                 here = node
         elif m[1]:
             tag = m[1].lower()
@@ -218,7 +231,7 @@ def _score(order: list[Node]) -> None:
         x.points *= 1 - x.links / x.size if x.size else 0
 
 
-def _blocks(nodes: list[Node]) -> str:
+def _blocks(nodes: list[Node | str]) -> str:
     """Text of the nodes in page order: blocks apart, white space inside a block as one space."""
     out: list[str] = []
     todo: list[Node | str] = list(reversed(nodes))
@@ -253,15 +266,39 @@ def _main_text(html: str, by_name: bool = True) -> str:
     up = best.parent
     if up is None:
         return _blocks([best])
-    keep, least = [], max(10, best.points * 0.2)
-    for x in up.items:
-        if isinstance(x, str):
-            continue
-        prose = x.tag == "p" and x.size and (x.size >= 80 and x.links < 0.25 * x.size or not x.links and x.size >= MIN_POINTS_CHARS)
-        title = x.tag in ("h1", "h2") and best.tag in ("article", "main", "div", "section") and x.size and not x.links
-        if x is best or x.points >= least or prose or title:
-            keep.append(x)
-    return _blocks(keep)
+    if best.tag in ("article", "main"):  # the page says where its text is
+        least = max(10, best.points * 0.2)
+        prose = lambda x: x.tag == "p" and x.size and (x.size >= 80 and x.links < 0.25 * x.size or not x.links and x.size >= MIN_POINTS_CHARS)
+        title = lambda x: x.tag in ("h1", "h2") and x.size and not x.links
+        return _blocks([x for x in up.items if not isinstance(x, str) and (x is best or x.points >= least or prose(x) or title(x))])
+    texts = any(isinstance(x, str) and x.strip() for x in up.items)
+    while up.parent is not None:  # parts of one text stand in containers of one kind
+        alike = [x for x in up.parent.items if isinstance(x, Node) and x is not up and (x.tag, x.attrs) == (up.tag, up.attrs) and x.points > 0 and 2 * x.links < x.size]
+        if up.tag in ("html", "body") or not alike:
+            break
+        return _blocks([i for x in up.parent.items if x is up or x in alike for i in x.items if _belongs(i, best, x, texts)])
+    return _blocks([x for x in up.items if _belongs(x, best, up, texts)])
+
+
+def _belongs(x: Node | str, best: Node, up: Node, texts: bool) -> bool:
+    """Whether a sibling of the best container is text like it: all but link lists and, at the top of a page, regions without a heading or a sentence."""
+    if isinstance(x, str) or x is best:
+        return True
+    if x.tag not in BLOCK and texts or x.tag in ("br", "hr"):
+        return True  # part of a line
+    if not x.size or 2 * x.links >= x.size:
+        return False
+    if up.tag not in ("html", "body") or x.tag not in ("div", "section", "center", "span"):
+        return True
+    todo = [x]
+    while todo:
+        y = todo.pop()
+        if y.tag in ("h1", "h2", "h3") and y.size and not y.links:
+            return True
+        if (y.tag in PARAGRAPH or not any(isinstance(i, Node) and i.tag in BLOCK for i in y.items)) and SENTENCE.search(_blocks([y])):
+            return True
+        todo += [i for i in y.items if isinstance(i, Node)]
+    return False
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

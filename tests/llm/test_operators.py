@@ -604,3 +604,53 @@ def test_chat_format_folds_long_conversations_in_parts(spark):
         assert r.formatted == want + "<|im_end|>\n"
         raw = r.formatted.encode()
         assert [raw[s.start : s.start + s.size].decode() for s in r.loss_spans] == [t.replace("<|", "<!|") for c, _, role, t in rows if c == r.conv_id and role == "assistant"]
+
+
+def test_html_attributes_as_browsers_read_them():
+    for p in ("<p title=don't>", "<p title=\"don't\" data-x='\"'>", "<p title = don\"t class=>", "<p data-a='it' b=c's>", "<p a=\"never closed>", "<p x=y/>", "<p hidden-note=1 ' \">"):
+        html = f"<body><div>{p}{ARTICLE}</p><p>{ARTICLE} It's more.</p></div></body>"
+        assert main_text(html).endswith(f"{ARTICLE.strip()} It's more."), p
+        assert main_text(html).startswith(ARTICLE.strip()), p
+
+
+def test_html_classes_that_only_contain_a_word():
+    for name in ("content overflow-hidden", "post type-post format-standard", "overflow-hidden", "x-hidden-y"):
+        assert main_text(f"<body><div class='{name}'><p>{ARTICLE}</p></div></body>") == ARTICLE.strip()
+        assert main_text(f"<body><div><p>{ARTICLE}</p><p>{ARTICLE}</p><div class='{name}'><p>A short part.</p></div></div></body>").endswith("A short part.")
+    for name in ("hidden", "sr-only", "d-none box"):
+        assert "Unseen" not in main_text(f"<body><div><p>{ARTICLE}</p><div class='{name}'><p>Unseen words of the page.</p></div></div></body>")
+
+
+def test_html_keeps_all_siblings_of_the_best_container():
+    small = "<h3>Head</h3><blockquote>Said.</blockquote><ul><li>one</li><li>two</li></ul><p>Short.</p><table><tr><td>cell</td></tr></table>loose <b>text</b><pre>x = 1</pre>"
+    want = "Head Said. one two Short. cell loose text x = 1"
+    body = f"<div id='c'><div class='part'><p>{ARTICLE * 4}</p><p>{ARTICLE * 4}</p></div>{small}<div class='part'><p>End, of it.</p></div><div><a href='/x'>one link</a> <a>two</a></div></div>"
+    assert main_text(f"<body><nav>menu</nav>{body}<footer>foot</footer></body>") == " ".join([ARTICLE.strip()] * 1 + [ARTICLE.strip()] * 7 + [want, "End, of it."])
+    # parts in containers of one kind; a region at the top of the page that nothing marks as text
+    rows = "".join(f"<div class='row'><div class='col'><p>{ARTICLE}</p><p>Part {k}.</p></div></div>" for k in range(2))
+    got = main_text(f"<body><div>Site 2020</div><h1>Title</h1>{rows}</body>")
+    assert [f"Part {k}." in got for k in range(2)] == [True, True]
+    assert "Site 2020" not in got
+
+
+def test_html_over_all_pages(spark, sf):
+    """Every page against a reading of its article by regular expressions."""
+    from html import unescape
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {}
+    for r in pages.collect():
+        inside = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
+        inside = re.sub(r"<script.*?</script>|<style.*?</style>|<!--.*?-->", "", inside, flags=re.S)
+        inside = re.sub(r"</?(?:p|h\d|br|ul|ol|li|div|table|tr|td)\b[^>]*>", " ", inside)
+        want[r.page_id] = " ".join(unescape(re.sub(r"<[^>]*>", "", inside)).split())
+    got = {r.page_id: r.text for r in extract_main_text(pages).collect()}
+    assert got == want
+    assert len(got) == 250
+
+
+def test_html_long_page_is_read_whole():
+    many = "".join(f"<p>Paragraph {k}, of a long text, with commas and words.</p>" for k in range(20_000))
+    text = main_text(f"<body><div>{many}</div></body>")
+    assert text.startswith("Paragraph 0,") and text.endswith("Paragraph 19999, of a long text, with commas and words.")
+    assert text.count("Paragraph") == 20_000
