@@ -316,6 +316,6 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     words = split_words(text) if cuts_words(path) else F.array(F.coalesce(text, F.lit("")))
     split = docs.select(F.col(id_col).cast("long").alias("doc_id"), words.alias("words"))
     names = split.mapInArrow(_packer(root), "pack long, at int, word string")
-    sorted_names = names.repartition(n_partitions(spark), "word").sortWithinPartitions("word")
+    sorted_names = names.repartition(n_partitions(spark, docs), "word").sortWithinPartitions("word")
     encoded = sorted_names.mapInArrow(_encoder(path), "pack long, blob binary")
     return encoded.groupBy("pack").applyInArrow(_restorer(root, path, list(fields)), ", ".join(f"{f} {_FIELDS[f][0]}" for f in fields))

@@ -128,5 +128,10 @@ def ship(spark: SparkSession) -> None:
     sc._plumbline_shipped = True
 
 
-def n_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def n_partitions(spark: SparkSession, sized_by: DataFrame | None = None, task_bytes: int = 256 << 20) -> int:
+    """The session's shuffle partitions, or more where the optimiser's estimate of ``sized_by`` asks for tasks of ``task_bytes``."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if sized_by is None:
+        return n
+    estimate = int(sized_by._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(n, -(-estimate // task_bytes)) if estimate < 1 << 60 else n  # beyond: unknown

@@ -161,12 +161,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     shards before it). A null text counts as empty and gets the end id alone; null ids come first;
     rows that repeat an id follow each other, ordered by text; an empty table gives no shard. Extra
     columns are not read. ``path`` must be in storage that all executors share. A task keeps one
-    block of ids, its word cache (bounded) and three integers per document.
+    block of ids, its word cache (bounded) and three integers per document. Files follow the size of the
+    input: as many as shuffle partitions, and more from 256 MB of input a file on.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    dealt = rows.repartitionByRange(n_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = rows.repartitionByRange(n_partitions(spark, docs), "doc_id").sortWithinPartitions("doc_id", "text")
     shards = dealt.mapInArrow(_writer(path, tokenizer, end_id, block_ids), "shard long, file string, n_docs long, n_ids long").collect()
     schema = T.StructType([T.StructField(n, t) for n, t in (("shard", T.LongType()), ("file", T.StringType()), ("n_docs", T.LongType()), ("n_ids", T.LongType()), ("first", T.LongType()))])
     first, out = 0, []
@@ -196,7 +197,11 @@ def _reader(path: str, with_ids: bool):
 
 
 def read_tokens(spark: SparkSession, path: str, shards: DataFrame, *, with_ids: bool = False) -> DataFrame:
-    """Documents read back from the shards: ``doc_id, start, n_tokens, ids_crc32`` and, if asked for, ``ids``."""
+    """Documents read back from the shards: ``doc_id, start, n_tokens, ids_crc32`` and, if asked for, ``ids``.
+
+    One row per row written, repeated ids and null ids included; no shard gives no rows. A file is one
+    task's work, a few chunks of it in memory at a time.
+    """
     ship(spark)
     n = max(1, shards.count())
     return shards.select("file", "first").repartition(n).mapInArrow(_reader(path, with_ids), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)

@@ -654,3 +654,73 @@ def test_html_long_page_is_read_whole():
     text = main_text(f"<body><div>{many}</div></body>")
     assert text.startswith("Paragraph 0,") and text.endswith("Paragraph 19999, of a long text, with commas and words.")
     assert text.count("Paragraph") == 20_000
+
+
+def test_quadratic_discriminant_by_definition(spark, sf):
+    """Scores against class moments, shrinkage and log-densities written out with pandas."""
+    from plumbline.llm.quality_qda import FEATURES, statistics
+
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet").toPandas() for t in ("documents", "labels"))
+    x = np.array([statistics(t.encode() if t else None) for t in docs.text])
+    known = docs.assign(row=range(len(docs))).merge(labels, on="doc_id")
+    known = known[[zlib.crc32(str(i).encode()) % 5 != 0 for i in known.doc_id]]
+    own = [x[known[known.quality == k].row] for k in (0, 1)]
+    scatter = [(len(o) - 1) * np.cov(o.T) for o in own]
+    pooled = sum(scatter) / (sum(map(len, own)) - 2)
+    log = []
+    for k in (0, 1):
+        c = 0.95 * scatter[k] / (len(own[k]) - 1) + 0.05 * pooled
+        c = 0.95 * c + 0.05 * np.diag(np.diag(c)) + 1e-4 * np.eye(len(FEATURES))
+        d = x - own[k].mean(0)
+        log.append(np.log((len(own[k]) + 1) / (sum(map(len, own)) + 2)) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(c), d))
+    with np.errstate(over="ignore"):
+        want = 1 / (1 + np.exp(log[0] - log[1]))
+    got = quality_scores(*(spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))).toPandas().sort_values("doc_id")
+    order = np.argsort(docs.doc_id.to_numpy())
+    np.testing.assert_allclose(got.score, want[order], atol=1e-6)
+    assert (got.predicted == (got.score >= 0.3)).all()
+    assert (got.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in got.doc_id]).all()
+
+
+def test_near_duplicates_and_decontamination_miss_nothing(spark):
+    """Recall and precision over all documents of a table: every link of a brute-force search, and no other."""
+    at = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    for k, num, den in ((3, 85, 100), (5, 80, 100)):
+        sets = {}
+        for i, t in rows:
+            w = words_of(low(t))
+            sets[i] = {hash(tuple(w[p : p + k])) for p in range(len(w) - k + 1)} if len(w) >= k else ({hash(tuple(w))} if w else set())
+        holders: dict = {}
+        for i, s in sets.items():
+            for h in s:
+                holders.setdefault(h, []).append(i)
+        label = {i: i for i in sets}
+
+        def top(i):
+            while label[i] != i:
+                i = label[i]
+            return i
+
+        for a, s in sets.items():
+            common: dict = {}
+            for h in s:
+                for b in holders[h]:
+                    common[b] = common.get(b, 0) + 1
+            for b, both in common.items():
+                if b > a and den * both >= num * (len(s) + len(sets[b]) - both):
+                    x, y = sorted((top(a), top(b)))
+                    label[y] = x
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs, shingle_words=k, similarity=(num, den)).collect()}
+        assert got == {i: (len(s), top(i)) for i, s in sets.items()}
+
+    def shingles(t):
+        w = (t or "").encode().translate(_PLAIN).split()
+        return set(zip(*[w[p:] for p in range(5)], strict=False)) if len(w) >= 5 else ({tuple(w)} if w else set())
+
+    bench = spark.read.parquet(f"{at}/benchmark.parquet")
+    items = [(r.item_id, shingles(r.text)) for r in bench.collect()]
+    want = {(i, j) for i, t in rows for s in [shingles(t)] for j, own in items if own and 10 * len(own & s) >= 8 * len(own)}
+    assert {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()} == want
+    assert want
