@@ -21,14 +21,17 @@ def block_length(beta: float) -> int:
     return max(1, int(_RANGE / -math.log(beta))) if 0 < beta < 1 else 1
 
 
-def ewm_sums(df: DataFrame, keys: list[str], sums: dict[str, tuple[Column, float]], order: str = "row_idx") -> DataFrame:
+def ewm_sums(df: DataFrame, keys: list[str], sums: dict[str, tuple[Column, float]], order: str = "row_idx", *, rows: int | None = None) -> DataFrame:
     """Adds a column ``name`` for each ``name: (value, beta)``; a null value counts as 0 and still ages.
 
     ``beta`` 0 keeps the value itself and 1 is a running sum. Every key must have a row for every
-    number between its first and last.
+    number between its first and last. Where all numbers are known to be below ``rows`` and fit one
+    block, nothing is inherited and the scan is a single window.
     """
     real = [b for _, b in sums.values() if 0 < b < 1]
     size = min(map(block_length, real), default=1 << 20)
+    if rows is not None and rows <= size:
+        return _one_block(df, keys, sums, order)
     out = df.withColumn("_blk", F.floor(F.col(order) / size)).withColumn("_off", F.pmod(F.col(order), F.lit(size)).cast("double"))
     w = Window.partitionBy(*keys, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = {}
@@ -48,6 +51,17 @@ def ewm_sums(df: DataFrame, keys: list[str], sums: dict[str, tuple[Column, float
     return out.withColumns(full).drop("_blk", "_off", *[f"_c_{n}" for n in sums])
 
 
+def _one_block(df: DataFrame, keys: list[str], sums: dict[str, tuple[Column, float]], order: str) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    at = F.col(order).cast("double")
+    full = {}
+    for name, (value, beta) in sums.items():
+        x = F.coalesce(value.cast("double"), F.lit(0.0))
+        grown = x if beta in (0, 1) else x * F.pow(F.lit(beta), -at)
+        full[name] = x if beta == 0 else F.sum(grown).over(w) * (F.lit(1.0) if beta == 1 else F.pow(F.lit(beta), at))
+    return df.withColumns(full)
+
+
 def _carries(sums: dict[str, tuple[Column, float]], size: int) -> Column:
     """From the ordered block ends: what each following block inherits."""
     start = F.struct(F.lit(-1).cast("long").alias("blk"), *[F.lit(0.0).alias(n) for n in sums])

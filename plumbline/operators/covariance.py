@@ -25,13 +25,13 @@ def pairs(enriched: DataFrame) -> DataFrame:
     return both.select(*ROW, F.col("l.asset_ord").alias("i"), F.col("r.asset_ord").alias("j"), F.col("l.ret_adj").alias("x"), F.col("r.ret_adj").alias("y"))
 
 
-def ewm_cov(enriched: DataFrame, cfg: EngineConfig) -> DataFrame:
+def ewm_cov(enriched: DataFrame, cfg: EngineConfig, *, rows: int | None = None) -> DataFrame:
     """Biased covariance of the joint observations, null until ``cfg.corr`` of them and where either is missing."""
     b = cfg.beta_corr
     p = pairs(enriched)
     both = F.col("x").isNotNull() & F.col("y").isNotNull()
     sums = {"a": (F.when(both, F.col("x")), b), "b": (F.when(both, F.col("y")), b), "c": (F.when(both, F.col("x") * F.col("y")), b), "w": (F.when(both, 1.0), b), "k": (F.when(both, 1.0), 1.0)}
-    p = ewm_sums(p, PAIR, sums)
+    p = ewm_sums(p, PAIR, sums, rows=rows)
     cov = F.try_divide("c", "w") - F.try_divide("a", "w") * F.try_divide("b", "w")
     return p.select(*ROW, "i", "j", F.when(both & (F.col("k") >= cfg.corr), cov).alias("cov"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig, SlidingWindow
 from ..sources import panel as P
+from ..sources.settle import settle
 from . import covariance, diagnostics, pnl, returns, signal_eval, solve, stats, sweeps
 
 log = logging.getLogger("plumbline")
@@ -19,11 +20,13 @@ class Engine:
     """Positions, diagnostics, signal evaluation and P&L of one long panel.
 
     Tables are plans: nothing runs until they are used. :meth:`cache` keeps the solver's rows, which
-    most properties share.
+    most properties share. With ``settled`` the panel with its returns, a row per timestamp and asset,
+    is written to the shared folder when it is first needed, and so are daily profits: what is built on
+    them reads a small table, and the number of timestamps is known.
     """
 
-    def __init__(self, panel: DataFrame, cfg: EngineConfig, *, validate: bool = True):
-        self.panel, self.cfg = panel, cfg
+    def __init__(self, panel: DataFrame, cfg: EngineConfig, *, validate: bool = True, settled: bool = False):
+        self.panel, self.cfg, self.settled = panel, cfg, settled
         if validate:
             P.validate(panel, cfg)
             if isinstance(cfg.covariance, SlidingWindow):
@@ -37,15 +40,26 @@ class Engine:
 
     @cached_property
     def enriched(self) -> DataFrame:
-        return returns.enriched(self.panel, self.cfg)
+        made = returns.enriched(self.panel, self.cfg, rows=self.rows)
+        return settle(made) if self.settled else made
+
+    @cached_property
+    def rows(self) -> int | None:
+        """Timestamps of the longest universe, counted for a settled engine only."""
+        return (self.panel.agg((F.max("row_idx") + 1).alias("n")).first()["n"] or 0) if self.settled else None
+
+    @property
+    def prices(self) -> DataFrame:
+        """The panel's rows, from the settled table if there is one."""
+        return self.enriched if self.settled else self.panel
 
     @cached_property
     def solution(self) -> DataFrame:
-        return solve.solved(self.enriched, self.cfg)
+        return solve.solved(self.enriched, self.cfg, rows=self.rows)
 
     @cached_property
     def diagnosed(self) -> DataFrame:
-        return solve.solved(self.enriched, self.cfg, diagnostics=True)
+        return solve.solved(self.enriched, self.cfg, diagnostics=True, rows=self.rows)
 
     def cache(self) -> Engine:
         self.solution = self.solution.persist()
@@ -61,7 +75,7 @@ class Engine:
 
     @cached_property
     def cor_rows(self) -> DataFrame:
-        return covariance.correlation_rows(covariance.ewm_cov(self.enriched, self.cfg), self.cfg)
+        return covariance.correlation_rows(covariance.ewm_cov(self.enriched, self.cfg, rows=self.rows), self.cfg)
 
     @property
     def cor(self) -> DataFrame:
@@ -124,11 +138,12 @@ class Engine:
     @cached_property
     def book(self) -> DataFrame:
         """Prices with cash positions times ``position_scale``: what the portfolio holds."""
-        return pnl.book(self.panel, self.cash_position, self.cfg.position_scale)
+        return pnl.book(self.prices, self.cash_position, self.cfg.position_scale)
 
     @cached_property
     def daily(self) -> DataFrame:
-        return pnl.daily(self.book, self.cfg.aum)
+        days = pnl.daily(self.book, self.cfg.aum)
+        return settle(days) if self.settled else days
 
     def all_view(self) -> DataFrame:
         return pnl.all_view(self.daily, self.cfg.aum)

@@ -40,17 +40,18 @@ def with_ret_adj(panel: DataFrame, cfg: EngineConfig) -> DataFrame:
     return out.withColumn("ret_adj", clipped(F.col("log_ret"), F.col("log_std"), cfg.clip))
 
 
-def enriched(panel: DataFrame, cfg: EngineConfig) -> DataFrame:
+def enriched(panel: DataFrame, cfg: EngineConfig, *, rows: int | None = None) -> DataFrame:
     """The panel with ``log_ret, pct_ret, log_std, vola, ret_adj``, all sums in one scan.
 
-    Both kinds of returns are known on the same rows, so they share weights and counts.
+    Both kinds of returns are known on the same rows, so they share weights and counts. ``rows``: a
+    bound on the timestamps of a universe, if known.
     """
     p = with_pct_returns(with_log_returns(panel))
     b = cfg.beta_vola
     seen = F.when(F.col("log_ret").isNotNull(), 1.0)
     lr, pr = F.col("log_ret"), F.col("pct_ret")
     sums = {"_ls": (lr, b), "_lss": (lr * lr, b), "_ps": (pr, b), "_pss": (pr * pr, b), "_w": (seen, b), "_ww": (seen, b * b), "_n": (seen, 1.0)}
-    p = ewm_sums(p, KEYS, sums)
+    p = ewm_sums(p, KEYS, sums, rows=rows)
     w, ww, n = F.col("_w"), F.col("_ww"), F.col("_n")
 
     def std(s: str, ss: str) -> Column:

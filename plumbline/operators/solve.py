@@ -26,16 +26,16 @@ def cells(enriched: DataFrame) -> DataFrame:
     )
 
 
-def matrices(enriched: DataFrame, cfg: EngineConfig, *, lamb: float | None = None) -> DataFrame:
+def matrices(enriched: DataFrame, cfg: EngineConfig, *, lamb: float | None = None, rows: int | None = None) -> DataFrame:
     """One row per timestamp with ``pi, pj, pv``: the pairs of its matrix (shrunk, or second moments)."""
     if isinstance(cfg.covariance, SlidingWindow):
         gram = window_gram(enriched, cfg.covariance.window)
-        rows = gram.groupBy(*ROW).agg(F.array_sort(F.collect_list(F.struct("i", "j", F.col("gram").alias("v")))).alias("p"))
+        out = gram.groupBy(*ROW).agg(F.array_sort(F.collect_list(F.struct("i", "j", F.col("gram").alias("v")))).alias("p"))
     else:
         lamb = cfg.shrink if lamb is None else lamb
-        rows = correlation_rows(ewm_cov(enriched, cfg), cfg)
-        rows = rows.select(*ROW, F.transform("pairs", lambda x: F.struct(x["i"].alias("i"), x["j"].alias("j"), shrink2id(x["rho"], x["i"] == x["j"], lamb).alias("v"))).alias("p"))
-    return rows.select(*ROW, F.col("p.i").alias("pi"), F.col("p.j").alias("pj"), F.col("p.v").alias("pv"))
+        out = correlation_rows(ewm_cov(enriched, cfg, rows=rows), cfg)
+        out = out.select(*ROW, F.transform("pairs", lambda x: F.struct(x["i"].alias("i"), x["j"].alias("j"), shrink2id(x["rho"], x["i"] == x["j"], lamb).alias("v"))).alias("p"))
+    return out.select(*ROW, F.col("p.i").alias("pi"), F.col("p.j").alias("pj"), F.col("p.v").alias("pv"))
 
 
 def _full(row, n: int) -> np.ndarray:
@@ -110,9 +110,9 @@ def run_solver(rows: DataFrame, cfg: EngineConfig, *, diagnostics: bool = False)
     return out if diagnostics else out.drop("cond", "erank", "residual", "util")
 
 
-def solved(enriched: DataFrame, cfg: EngineConfig, *, diagnostics: bool = False, lamb: float | None = None) -> DataFrame:
+def solved(enriched: DataFrame, cfg: EngineConfig, *, diagnostics: bool = False, lamb: float | None = None, rows: int | None = None) -> DataFrame:
     """One row per timestamp: ``status, ords, risk, vola`` and, with ``diagnostics``, ``cond, erank, residual, util``."""
-    return run_solver(cells(enriched).join(matrices(enriched, cfg, lamb=lamb), ROW), cfg, diagnostics=diagnostics)
+    return run_solver(cells(enriched).join(matrices(enriched, cfg, lamb=lamb, rows=rows), ROW), cfg, diagnostics=diagnostics)
 
 
 def positions(solution: DataFrame) -> DataFrame:

@@ -33,50 +33,85 @@ def value_at_risk(days: DataFrame, alpha: float = 0.05) -> DataFrame:
     return days.groupBy("universe").agg((F.avg("returns") + F.lit(z) * F.stddev_samp("returns")).alias("value_at_risk"))
 
 
+def _var(alpha: float) -> Column:
+    whole = Window.partitionBy("universe")
+    return F.avg("returns").over(whole) + F.lit(NormalDist().inv_cdf(alpha)) * F.stddev_samp("returns").over(whole)
+
+
 def cvar(days: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Mean of the returns at or below the value at risk."""
-    low = days.join(value_at_risk(days, alpha), "universe").where("returns <= value_at_risk")
-    return value_at_risk(days, alpha).join(low.groupBy("universe").agg(F.avg("returns").alias("cvar"), F.count(F.lit(1)).alias("n_tail")), "universe", "left").select("universe", "cvar", F.coalesce("n_tail", F.lit(0)).cast("long").alias("n_tail"))
+    low = R("returns") <= R("_var")
+    return days.withColumn("_var", _var(alpha)).groupBy("universe").agg(F.avg(F.when(low, R("returns"))).alias("cvar"), F.count_if(low).alias("n_tail"))
+
+
+def _spells(with_drawdown: DataFrame) -> DataFrame:
+    """Adds ``_under``, the rows below the high-water mark so far in the current spell."""
+    under = R("drawdown") > 0
+    so_far = lambda *keys: Window.partitionBy("universe", *keys).orderBy("row_idx").rowsBetween(Window.unboundedPreceding, 0)
+    spell = F.sum(F.when(under, 0).otherwise(1)).over(so_far())
+    return with_drawdown.withColumn("_spell", spell).withColumn("_under", F.sum(F.when(under, 1).otherwise(0)).over(so_far("_spell")))
+
+
+def _drawdown_sums() -> list[Column]:
+    return [F.max("drawdown").alias("max_drawdown"), F.avg("drawdown").alias("avg_drawdown"), F.max("_under").cast("long").alias("max_duration")]
 
 
 def drawdown_stats(with_drawdown: DataFrame) -> DataFrame:
     """Largest and mean drawdown, and the longest run of rows below the high-water mark."""
-    w = Window.partitionBy("universe").orderBy("row_idx")
-    under = F.col("drawdown") > 0
-    marked = with_drawdown.withColumn("spell", F.sum(F.when(under, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    spells = marked.where(under).groupBy("universe", "spell").agg(F.count(F.lit(1)).alias("n")).groupBy("universe").agg(F.max("n").alias("longest"))
-    base = with_drawdown.groupBy("universe").agg(F.max("drawdown").alias("max_drawdown"), F.avg("drawdown").alias("avg_drawdown"))
-    return base.join(spells, "universe", "left").select("universe", "max_drawdown", "avg_drawdown", F.coalesce("longest", F.lit(0)).cast("long").alias("max_duration"))
+    return _spells(with_drawdown).groupBy("universe").agg(*_drawdown_sums())
 
 
-def moments(days: DataFrame) -> DataFrame:
-    """Mean, population skewness, excess kurtosis, best and worst."""
-    m = days.groupBy("universe").agg(*[F.avg(F.pow("returns", F.lit(float(k)))).alias(f"m{k}") for k in (1, 2, 3, 4)], F.max("returns").alias("best"), F.min("returns").alias("worst"))
+def _moment_sums() -> list[Column]:
+    return [*[F.avg(F.pow("returns", F.lit(float(k)))).alias(f"m{k}") for k in (1, 2, 3, 4)], F.max("returns").alias("best"), F.min("returns").alias("worst")]
+
+
+def _moment_values() -> list[Column]:
     v = R("m2") - R("m1") * R("m1")
     third = R("m3") - 3 * R("m1") * R("m2") + 2 * F.pow("m1", F.lit(3.0))
     fourth = R("m4") - 4 * R("m1") * R("m3") + 6 * R("m1") * R("m1") * R("m2") - 3 * F.pow("m1", F.lit(4.0))
-    return m.select("universe", R("m1").alias("mean"), F.when(v > 0, third / F.pow(v, F.lit(1.5))).alias("skew"), F.when(v > 0, fourth / (v * v) - 3).alias("kurtosis"), "best", "worst")
+    return [R("m1").alias("mean"), F.when(v > 0, third / F.pow(v, F.lit(1.5))).alias("skew"), F.when(v > 0, fourth / (v * v) - 3).alias("kurtosis"), R("best"), R("worst")]
 
 
-def win_loss(days: DataFrame) -> DataFrame:
-    """Win rate over the rows with a move, sums and means of both sides, and the share of winning months."""
+def moments(days: DataFrame) -> DataFrame:
+    """Mean, population skewness, excess kurtosis, best and worst."""
+    return days.groupBy("universe").agg(*_moment_sums()).select("universe", *_moment_values())
+
+
+def _months(days: DataFrame) -> DataFrame:
+    """Adds ``_month``: the return of a month on its first row, null on the others."""
+    own = Window.partitionBy("universe", F.date_trunc("month", "ts"))
+    return days.withColumn("_month", F.when(F.row_number().over(own.orderBy("row_idx")) == 1, F.sum("returns").over(own)))
+
+
+def _win_sums() -> list[Column]:
     up, down = R("returns") > 0, R("returns") < 0
-    a = days.groupBy("universe").agg(
+    return [
         F.count_if(up).alias("wins"), F.count_if(down).alias("losses"), F.sum(F.when(up, R("returns"))).alias("gain"), F.sum(F.when(down, -R("returns"))).alias("loss"),
         F.avg(F.when(up, R("returns"))).alias("avg_win"), F.avg(F.when(down, R("returns"))).alias("avg_loss"),
-    )
-    months = days.groupBy("universe", F.date_trunc("month", "ts").alias("m")).agg(F.sum("returns").alias("r")).where("r <> 0")
-    months = months.groupBy("universe").agg(F.avg(F.when(R("r") > 0, 1.0).otherwise(0.0)).alias("monthly_win_rate"))
-    return a.join(months, "universe", "left").select(
-        "universe", F.try_divide(R("wins"), R("wins") + R("losses")).alias("win_rate"), "monthly_win_rate", F.try_divide("gain", "loss").alias("profit_factor"),
-        F.try_divide(R("avg_win"), -R("avg_loss")).alias("payoff_ratio"), "avg_win", "avg_loss",
-    )
+        F.avg(F.when(R("_month") > 0, 1.0).when(R("_month") < 0, 0.0)).alias("monthly_win_rate"),
+    ]
+
+
+def _win_values() -> list[Column]:
+    return [
+        F.try_divide(R("wins"), R("wins") + R("losses")).alias("win_rate"), R("monthly_win_rate"), F.try_divide("gain", "loss").alias("profit_factor"),
+        F.try_divide(R("avg_win"), -R("avg_loss")).alias("payoff_ratio"), R("avg_win"), R("avg_loss"),
+    ]
+
+
+def win_loss(days: DataFrame) -> DataFrame:
+    """Win rate over the rows with a move, sums and means of both sides, and the share of winning months."""
+    return _months(days).groupBy("universe").agg(*_win_sums()).select("universe", *_win_values())
+
+
+def _calmar_values(mean: Column, total: Column, worst: Column, periods: int) -> list[Column]:
+    return [F.try_divide(mean * periods, worst).alias("calmar"), F.try_divide(total, worst).alias("recovery_factor")]
 
 
 def calmar(with_drawdown: DataFrame, periods: int = 252) -> DataFrame:
     """Annual mean return and total return, each over the largest drawdown."""
     a = with_drawdown.groupBy("universe").agg(F.avg("returns").alias("m"), F.sum("returns").alias("t"), F.max("drawdown").alias("d"))
-    return a.select("universe", F.try_divide(R("m") * periods, R("d")).alias("calmar"), F.try_divide(R("t"), R("d")).alias("recovery_factor"))
+    return a.select("universe", *_calmar_values(R("m"), R("t"), R("d"), periods))
 
 
 def capture(days: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -116,12 +151,17 @@ def asset_correlation(returns: DataFrame, value: str = "pct_ret") -> DataFrame:
 
 
 def summary(with_drawdown: DataFrame, periods: int = 252, alpha: float = 0.05) -> DataFrame:
-    """One row per statistic, twenty for each universe."""
-    d = with_drawdown
-    one = d.groupBy("universe").agg(F.sum("returns").alias("total_return"), F.count(F.lit(1)).cast("double").alias("n_rows"))
-    for part in (
-        sharpe(d, periods), volatility(d, periods), value_at_risk(d, alpha), cvar(d, alpha).drop("n_tail"), drawdown_stats(d), moments(d), win_loss(d), calmar(d, periods),
-    ):
-        one = one.join(part, "universe")
-    names = [c for c in one.columns if c != "universe"]
-    return one.select("universe", F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), R(n).cast("double").alias("value")) for n in names])).alias("m")).select("universe", "m.*")
+    """One row per statistic, twenty-two for each universe, from one shuffle and one aggregate."""
+    d = _months(_spells(with_drawdown)).withColumn("_var", _var(alpha))
+    deviation = F.stddev_samp("returns")
+    one = d.groupBy("universe").agg(
+        F.sum("returns").alias("total_return"), F.count(F.lit(1)).alias("n_rows"), deviation.alias("deviation"), F.max("_var").alias("value_at_risk"),
+        F.avg(F.when(R("returns") <= R("_var"), R("returns"))).alias("cvar"), *_drawdown_sums(), *_moment_sums(), *_win_sums(),
+    )
+    values = [
+        R("total_return"), R("n_rows"), sharpe_of(R("m1"), R("deviation"), periods).alias("sharpe"), (R("deviation") * _annual(periods)).alias("volatility"), R("value_at_risk"), R("cvar"),
+        R("max_drawdown"), R("avg_drawdown"), R("max_duration"), *_moment_values(), *_win_values(), *_calmar_values(R("m1"), R("total_return"), R("max_drawdown"), periods),
+    ]
+    named = one.select("universe", *values)
+    names = named.columns[1:]
+    return named.select("universe", F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), R(n).cast("double").alias("value")) for n in names])).alias("m")).select("universe", "m.*")

@@ -45,7 +45,7 @@ def rounded(df: DataFrame, digits: int = 6, **own: int) -> DataFrame:
 
 
 def engine(spark: SparkSession, sf_dir: str, name: str, cfg: EngineConfig = CFG) -> Engine:
-    return Engine(panel(spark, sf_dir, name), cfg, validate=False)
+    return Engine(panel(spark, sf_dir, name), cfg, validate=False, settled=True)
 
 
 def rnd(*cols: str, digits: int = 6) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.panel import complete, with_momentum
+from ..sources.settle import settle
 
 #: name -> (table, time bucket, asset, price, filter), as SQL that both engines read alike.
 SOURCES = {
@@ -26,7 +27,9 @@ def panel(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "p25":
         rows = rows.join(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     means = rows.groupBy(F.expr(bucket).cast("timestamp_ntz").alias("ts"), F.expr(asset).alias("asset")).agg(F.round(F.avg(F.expr(price)), 9).alias("price"))
-    return with_momentum(complete(means.where("ts IS NOT NULL"), universe=name), fast=FAST, slow=SLOW, gain=GAIN)
+    # one row per bucket and asset: the large table is read once, whatever is built on the panel
+    means = settle(means.where("ts IS NOT NULL"))
+    return with_momentum(complete(means, universe=name), fast=FAST, slow=SLOW, gain=GAIN)
 
 
 def panel_sql(name: str) -> str:
