@@ -95,6 +95,13 @@ class EngineConfig:
     def beta_corr(self) -> float:
         return self.corr / (self.corr + 1)
 
+    @property
+    def report(self):
+        """The settings as an HTML page, without prices: parameters and advice on the shrinkage weight."""
+        from .report import ConfigReport
+
+        return ConfigReport(cfg=self)
+
     def replace(self, *, max_turnover: float | None | object = _KEEP, **changes) -> EngineConfig:
         """A copy with changes; ``max_turnover=None`` clears the cap, leaving it out keeps it."""
         if max_turnover is not _KEEP:

@@ -72,6 +72,13 @@ class SingularMatrixError(LinearAlgebraError):
         super().__init__(f"the {what} is singular")
 
 
+class InsufficientDataError(PanelError):
+    """Too few finite values for a computation."""
+
+    def __init__(self, detail: str = "too few finite values for the computation"):
+        super().__init__(detail)
+
+
 class FactorModelError(PanelError):
     """Loadings, factor covariance and idiosyncratic variances do not fit together."""
 

@@ -53,15 +53,20 @@ def solve(a: np.ndarray, b: np.ndarray, limit: float = CONDITION_LIMIT) -> np.nd
     if ok.any():
         m = a[np.ix_(ok, ok)]
         check_condition(m, limit)
+        out[ok] = _solve_positive(m, b[ok])
+    return out
+
+
+def _solve_positive(m: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """By Cholesky factors where the matrix is positive definite, by the general factorisation where it is not."""
+    try:
+        low = np.linalg.cholesky(m)
+    except np.linalg.LinAlgError:
         try:
-            np.linalg.cholesky(m)
-        except np.linalg.LinAlgError:
-            pass  # not positive definite: the general factorisation below decides
-        try:
-            out[ok] = np.linalg.solve(m, b[ok])
+            return np.linalg.solve(m, b)
         except np.linalg.LinAlgError as e:
             raise SingularMatrixError from e
-    return out
+    return np.linalg.solve(low.T, np.linalg.solve(low, b))
 
 
 def check_condition(m: np.ndarray, limit: float = CONDITION_LIMIT) -> float:

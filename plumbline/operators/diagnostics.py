@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.kernel import CONDITION_LIMIT
 from .covariance import ROW
 
 
@@ -29,5 +30,12 @@ def signal_utilisation(solution: DataFrame) -> DataFrame:
     return flat.select(*ROW, F.col("z.ords").alias("asset_ord"), F.nanvl(F.col("z.util"), F.lit(None).cast("double")).alias("utilisation"))
 
 
+def warnings(solution: DataFrame, limit: float = CONDITION_LIMIT) -> DataFrame:
+    """One row per finding: ``warning`` (why a row is degenerate, or ``ill_conditioned``) and the condition number, if known."""
+    cond = _number("cond")
+    each = F.array_compact(F.array(F.col("reason"), F.when(cond > limit, F.lit("ill_conditioned"))))
+    return solution.select(*ROW, cond.alias("condition_number"), F.explode(each).alias("warning"))
+
+
 def status_counts(solution: DataFrame) -> DataFrame:
     return solution.groupBy("universe", "status").agg(F.count(F.lit(1)).alias("n"))

@@ -123,6 +123,14 @@ class Engine:
     def signal_utilisation(self) -> DataFrame:
         return diagnostics.signal_utilisation(self.diagnosed)
 
+    def warnings(self, limit: float = 1e12) -> DataFrame:
+        """Degenerate rows with their reason, and rows whose matrix has a condition number above ``limit``."""
+        return diagnostics.warnings(self.diagnosed, limit)
+
+    def save_cor_tensor(self, path: str) -> None:
+        """Writes the correlation matrices as Parquet: a row per timestamp with the size and the row-major cells."""
+        self.cor_tensor.write.parquet(path)
+
     def ic(self, h: int = 1) -> DataFrame:
         return signal_eval.ic(self.panel, h)
 

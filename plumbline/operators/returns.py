@@ -49,7 +49,8 @@ def enriched(panel: DataFrame, cfg: EngineConfig, *, rows: int | None = None) ->
     p = with_pct_returns(with_log_returns(panel))
     b = cfg.beta_vola
     seen = F.when(F.col("log_ret").isNotNull(), 1.0)
-    lr, pr = F.col("log_ret"), F.col("pct_ret")
+    lr = F.col("log_ret")
+    pr = F.when(lr.isNotNull(), F.col("pct_ret"))  # a price of zero or less has no logarithm, and no part in either
     sums = {"_ls": (lr, b), "_lss": (lr * lr, b), "_ps": (pr, b), "_pss": (pr * pr, b), "_w": (seen, b), "_ww": (seen, b * b), "_n": (seen, 1.0)}
     p = ewm_sums(p, KEYS, sums, rows=rows)
     w, ww, n = F.col("_w"), F.col("_ww"), F.col("_n")

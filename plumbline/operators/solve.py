@@ -14,6 +14,10 @@ from ..functions import kernel as K
 from .covariance import ROW, correlation_rows, ewm_cov, shrink2id, window_gram
 
 
+#: Why a row is degenerate.
+NO_PRICE, UNKNOWN_MATRIX, SINGULAR, DENOMINATOR = "no_price", "unknown_matrix", "singular_matrix", "denominator"
+
+
 def cells(enriched: DataFrame) -> DataFrame:
     """One row per timestamp: what the solver needs of each asset, in asset order."""
     mu = F.coalesce("mu", F.lit(0.0))
@@ -60,13 +64,14 @@ def active_matrix(row, mask: np.ndarray, cfg: EngineConfig) -> np.ndarray | None
 def _solver(cfg: EngineConfig, diagnostics: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = {k: [] for k in ("status", "risk", "cond", "erank", "residual", "util")}
+            out = {k: [] for k in ("status", "reason", "risk", "cond", "erank", "residual", "util")}
             masks = [np.asarray(a, bool) for a in pdf.active]
             mus = [np.asarray(m, float) for m in pdf.mu]
             rows = list(pdf.itertuples(index=False))
             mats = [active_matrix(r, m, cfg) if m.any() else None for r, m in zip(rows, masks, strict=True)]
             sliding = isinstance(cfg.covariance, SlidingWindow)
             status: list[str] = [""] * len(rows)
+            reason: list[str | None] = [None] * len(rows)
             risk = [np.where(m, 0.0, np.nan) for m in masks]
             groups: dict[bytes, list[int]] = {}
             for k, r in enumerate(rows):
@@ -74,19 +79,21 @@ def _solver(cfg: EngineConfig, diagnostics: bool):
                     status[k] = K.WARMUP
                     risk[k] = np.full(len(masks[k]), np.nan)
                 elif isinstance(r.early, str):
-                    status[k] = r.early
-                elif mats[k] is None:
-                    status[k] = K.DEGENERATE
+                    status[k], reason[k] = r.early, NO_PRICE if r.early == K.DEGENERATE else None
+                elif mats[k] is None or not np.isfinite(mats[k]).all():
+                    status[k], reason[k] = K.DEGENERATE, UNKNOWN_MATRIX
                 else:
                     groups.setdefault(masks[k].tobytes(), []).append(k)
             for members in groups.values():
                 mask = masks[members[0]]
-                x, _, valid, _ = K.risk_positions(np.array([mats[k] for k in members]), np.array([mus[k][mask] for k in members]), cfg.denom_tol)
-                for k, pos, ok in zip(members, x, valid, strict=True):
+                x, _, valid, raw = K.risk_positions(np.array([mats[k] for k in members]), np.array([mus[k][mask] for k in members]), cfg.denom_tol)
+                for k, pos, ok, found in zip(members, x, valid, raw, strict=True):
                     risk[k][mask] = pos
                     status[k] = K.VALID if ok else K.DEGENERATE
+                    reason[k] = None if ok else DENOMINATOR if np.isfinite(found).all() else SINGULAR
             for k, r in enumerate(rows):
                 out["status"].append(status[k])
+                out["reason"].append(reason[k])
                 out["risk"].append(risk[k])
                 m, mu = mats[k], mus[k][masks[k]]
                 known = diagnostics and m is not None
@@ -105,13 +112,13 @@ def _solver(cfg: EngineConfig, diagnostics: bool):
 def run_solver(rows: DataFrame, cfg: EngineConfig, *, diagnostics: bool = False) -> DataFrame:
     """Solves joined rows of :func:`cells` and :func:`matrices`."""
     types = dict(rows.dtypes)
-    schema = f"universe string, ts {types['ts']}, row_idx int, ords array<int>, vola array<double>, status string, risk array<double>, cond double, erank double, residual double, util array<double>"
+    schema = f"universe string, ts {types['ts']}, row_idx int, ords array<int>, vola array<double>, status string, reason string, risk array<double>, cond double, erank double, residual double, util array<double>"
     out = rows.withColumn("row_idx", F.col("row_idx").cast("int")).mapInPandas(_solver(cfg, diagnostics), schema)
     return out if diagnostics else out.drop("cond", "erank", "residual", "util")
 
 
 def solved(enriched: DataFrame, cfg: EngineConfig, *, diagnostics: bool = False, lamb: float | None = None, rows: int | None = None) -> DataFrame:
-    """One row per timestamp: ``status, ords, risk, vola`` and, with ``diagnostics``, ``cond, erank, residual, util``."""
+    """One row per timestamp: ``status, reason, ords, risk, vola`` (why a row is degenerate) and, with ``diagnostics``, ``cond, erank, residual, util``."""
     return run_solver(cells(enriched).join(matrices(enriched, cfg, lamb=lamb, rows=rows), ROW), cfg, diagnostics=diagnostics)
 
 

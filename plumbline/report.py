@@ -9,6 +9,7 @@ import dataclasses
 import html
 from pathlib import Path
 
+from .config import EngineConfig
 from .operators import diagnostics, sweeps
 from .operators.engine import Engine
 
@@ -34,23 +35,34 @@ def _line(points: list[tuple[float, float]], mark: float, width: int = 640, heig
     )
 
 
+#: Advice by the ratio of assets to the observations that the correlation window holds.
+GUIDE = (("below 0.1", "0.7 to 0.9", "many observations: the sample matrix is trusted"), ("0.1 to 0.5", "0.4 to 0.7", "moderate: noise and structure are balanced"), ("above 0.5", "0.1 to 0.4", "few observations: stay close to the identity"))
+THEORY = "A correlation matrix estimated from few observations spreads its eigenvalues too far, and its inverse trades on the smallest ones. Mixing it with the identity pulls all eigenvalues towards one: weight 1 keeps the estimate, weight 0 treats assets as unrelated."
+
+
 class ConfigReport:
-    def __init__(self, engine: Engine):
-        self.engine = engine
+    """Settings alone, or with an engine also its sweep over shrinkage and its status counts."""
 
-    def to_html(self, title: str = "Engine settings") -> str:
-        cfg = self.engine.cfg
-        settings = [(f.name, getattr(cfg, f.name)) for f in dataclasses.fields(cfg)]
+    def __init__(self, engine: Engine | None = None, *, cfg: EngineConfig | None = None):
+        self.engine, self.cfg = engine, cfg or engine.cfg
+
+    def _measured(self) -> str:
         try:
-            sweep = sorted((r.shrink, r.sharpe) for r in sweeps.lambda_sweep(self.engine.panel, cfg).collect())
-            body = _line(sweep, cfg.shrink) + _table(["shrink", "sharpe"], sweep)
+            sweep = sorted((r.shrink, r.sharpe) for r in sweeps.lambda_sweep(self.engine.panel, self.cfg).collect())
+            body = _line(sweep, self.cfg.shrink) + _table(["shrink", "sharpe"], sweep)
         except Exception as e:  # a report without its chart is better than none
             body = f"<p>The sweep is not available: {html.escape(type(e).__name__)}</p>"
         counts = [(r.status, r.n) for r in diagnostics.status_counts(self.engine.solution).orderBy("status").collect()]
+        return f"<h2>Sharpe ratio by shrinkage</h2>{body}<h2>Rows by status</h2>{_table(['status', 'rows'], counts)}"
+
+    def to_html(self, title: str = "Engine settings") -> str:
+        settings = [(f.name, getattr(self.cfg, f.name)) for f in dataclasses.fields(self.cfg)]
+        derived = [(n, getattr(self.cfg, n)) for n in ("covariance_mode", "window", "n_factors", "beta_vola", "beta_corr")]
+        guide = _table(["assets / corr", "shrink", "why"], list(GUIDE)) + f"<p>{THEORY}</p>"
         style = "body{font:15px sans-serif;margin:2em}table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:.2em .6em;text-align:left}"
         return (
             f"<!DOCTYPE html><html lang='en'><head><meta charset='utf-8'><title>{html.escape(title)}</title><style>{style}</style></head><body><h1>{html.escape(title)}</h1>"
-            f"<h2>Settings</h2>{_table(['name', 'value'], settings)}<h2>Sharpe ratio by shrinkage</h2>{body}<h2>Rows by status</h2>{_table(['status', 'rows'], counts)}</body></html>"
+            f"<h2>Settings</h2>{_table(['name', 'value'], settings + derived)}<h2>Shrinkage</h2>{guide}{self._measured() if self.engine else ''}</body></html>"
         )
 
     def save(self, path: str | Path, title: str = "Engine settings") -> Path:

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import dataclasses
 import json
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+from pyarrow import fs as arrow_fs
 
 from ..config import EngineConfig, SlidingWindow
 from ..errors import DimensionMismatchError, SingularMatrixError, StateFormatError
@@ -20,6 +22,10 @@ from ..functions import kernel as K
 FORMAT = 1
 
 
+def _filesystem(path: str) -> tuple[arrow_fs.FileSystem, str]:
+    return arrow_fs.FileSystem.from_uri(path) if ":/" in path else (arrow_fs.LocalFileSystem(), path)
+
+
 @dataclass
 class State:
     """Sums per asset (log and percentage returns share weights), sums per pair or the last rows."""
@@ -39,14 +45,34 @@ class State:
             np.full((cfg.covariance.window if sliding else 0, n_assets), np.nan),
         )
 
-    def to_json(self, cfg: EngineConfig) -> str:
+    def save(self, path: str, cfg: EngineConfig, names: Sequence[str] = ()) -> None:
+        """Writes the state, its settings and the asset names as one file; ``path`` may be a URI that Arrow reads."""
+        fs, at = _filesystem(path)
+        with fs.open_output_stream(at) as f:
+            f.write(self.to_json(cfg, names).encode())
+
+    @classmethod
+    def load(cls, path: str) -> tuple[State, EngineConfig, list[str]]:
+        """What :meth:`save` wrote; another version or a missing part is an error that says which."""
+        fs, at = _filesystem(path)
+        with fs.open_input_file(at) as f:
+            text = f.read().decode()
+        state, cfg = cls.from_json(text)
+        return state, cfg, json.loads(text).get("assets", [])
+
+    def to_json(self, cfg: EngineConfig, names: Sequence[str] = ()) -> str:
         body = {f.name: np.asarray(getattr(self, f.name), float).tolist() for f in dataclasses.fields(self)}
-        return json.dumps({"format": FORMAT, "config": cfg.to_json(), "n_assets": len(self.prev_price), **body})
+        return json.dumps({"format": FORMAT, "config": cfg.to_json(), "n_assets": len(self.prev_price), "assets": list(names), **body})
 
     @classmethod
     def from_json(cls, text: str) -> tuple[State, EngineConfig]:
-        d = json.loads(text)
-        if d.get("format") != FORMAT:
+        try:
+            d = json.loads(text)
+        except ValueError as e:
+            raise StateFormatError("this is not a saved state") from e
+        if not isinstance(d, dict) or "format" not in d:
+            raise StateFormatError("the state has no format version")
+        if d["format"] != FORMAT:
             raise StateFormatError(f"state format {d.get('format')}, this version reads {FORMAT}")
         missing = {f.name for f in dataclasses.fields(cls)} | {"config", "n_assets"}
         if missing := missing - set(d):
@@ -70,9 +96,24 @@ def _std(s: np.ndarray, ss: np.ndarray, w: np.ndarray, ww: np.ndarray, n: np.nda
         return np.where(n <= 1, np.where(n == 1, 0.0, np.nan), np.sqrt(var))
 
 
-def step(state: State, price: np.ndarray, mu: np.ndarray, cfg: EngineConfig) -> Step:
-    """Advances ``state`` by one timestamp; NaN marks what is missing."""
-    price, mu = np.asarray(price, float), np.asarray(mu, float)
+def as_vector(values: np.ndarray | Mapping[str, float], names: Sequence[str] | None) -> np.ndarray:
+    """Values in the order of ``names``, given as an array or by asset name; a name that lacks a value is an error, others are left out."""
+    if not isinstance(values, Mapping):
+        return np.asarray(values, float)
+    if names is None:
+        raise StateFormatError("values by asset name need the names of the assets")
+    if missing := [n for n in names if n not in values]:
+        raise StateFormatError(f"no value for {missing}")
+    return np.array([np.nan if values[n] is None else float(values[n]) for n in names])
+
+
+def step(state: State, price: np.ndarray | Mapping[str, float], mu: np.ndarray | Mapping[str, float], cfg: EngineConfig, names: Sequence[str] | None = None) -> Step:
+    """Advances ``state`` by one timestamp; NaN marks what is missing.
+
+    ``price`` and ``mu`` are arrays in the order of the assets, or mappings by the names in ``names``.
+    A price of zero or less has no logarithm, so neither it nor the step after it has a return.
+    """
+    price, mu = as_vector(price, names), as_vector(mu, names)
     n_assets = len(state.prev_price)
     for v in (price, mu):
         if v.shape != (n_assets,):
@@ -80,8 +121,8 @@ def step(state: State, price: np.ndarray, mu: np.ndarray, cfg: EngineConfig) ->
     price = np.where(np.isfinite(price), price, np.nan)
     mu = np.where(np.isfinite(mu), mu, 0.0)
     with np.errstate(all="ignore"):
-        r = price / state.prev_price
-        seen = np.isfinite(r)
+        r = np.where((price > 0) & (state.prev_price > 0), price / state.prev_price, np.nan)
+        seen = np.isfinite(np.log(r))
         lr, pr = np.where(seen, np.log(r), 0), np.where(seen, r - 1, 0)
     b = cfg.beta_vola
     decay = np.array([b, b, b, b, b, b * b, 1])[:, None]
