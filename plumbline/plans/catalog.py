@@ -6,7 +6,6 @@ number. Panels are described in :mod:`plumbline.plans.panels`.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -18,8 +17,9 @@ from ..functions import ewm
 from ..operators import covariance, pnl, returns, signal_eval, solve, stats, sweeps
 from ..operators.engine import Engine
 from ..sources import panel as P
+from ..sources.settle import shared_root
 from . import oracles as O
-from .panels import panel
+from .panels import SOURCES, panel
 
 CFG = EngineConfig(vola=16, corr=32, clip=3.0, shrink=0.5, aum=1e8, cost_per_unit=0.0005)
 WINDOW = EngineConfig(vola=16, corr=32, clip=3.0, shrink=0.5, aum=1e8, covariance=SlidingWindow(60, 1))
@@ -215,14 +215,50 @@ def sw_cov_p25(spark, sf):
     return rounded(_sw_cov_cells(spark, sf, "p25"))
 
 
-_LOADINGS = "SELECT CAST(vec_id AS INTEGER) AS i, l, CAST({e} AS DOUBLE) AS b, 1.0 / (l + 1) AS f FROM embeddings, (SELECT unnest([0, 1, 2]) AS l) WHERE vec_id < 12"
+# each vector is a factor model of four assets: loadings, own variances and a right-hand side from its first twelve numbers
+_SMALL = """e AS (SELECT vec_id, i, CAST(embedding[i + 1] AS DOUBLE) AS b, 0.5 + abs(CAST(embedding[i + 5] AS DOUBLE)) AS d, CAST(embedding[i + 9] AS DOUBLE) AS y FROM embeddings, (SELECT unnest([0, 1, 2, 3]) AS i))"""
 
 
-@query("factor_cov", f"""WITH b AS ({_LOADINGS.format(e='embedding[l + 1]')}) SELECT x.i, y.i AS j, {rnd('sum(x.b * x.f * y.b) + CASE WHEN x.i = y.i THEN 0.5 ELSE 0 END AS cov')} FROM b x JOIN b y ON x.l = y.l GROUP BY x.i, y.i""")
+def _small_models(what):
+    """Arrow batches of vectors; ``what`` gives rows of a model and its right-hand side."""
+    import numpy as np
+    import pandas as pd
+
+    from ..functions.kernel import FactorModel
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for vec_id, v in zip(pdf.vec_id, pdf.embedding, strict=True):
+                v = np.asarray(v, float)
+                out += [(vec_id, *r) for r in what(FactorModel(v[:4, None], np.array([[2.0]]), 0.5 + np.abs(v[4:8])), v[8:12])]
+            yield pd.DataFrame(out, columns=["vec_id", *names])
+
+    names = ["i", "j", "cov"] if what is _cells_of else ["i", "x"]
+    return run
+
+
+def _cells_of(model, rhs):
+    c = model.covariance
+    return [(i, j, c[i, j]) for i in range(4) for j in range(4)]
+
+
+def _solution_of(model, rhs):
+    return list(enumerate(model.solve(rhs)))
+
+
+@query("factor_cov", f"WITH {_SMALL} SELECT x.vec_id, x.i, y.i AS j, {rnd('2.0 * x.b * y.b + CASE WHEN x.i = y.i THEN x.d ELSE 0 END AS cov')} FROM e x JOIN e y ON x.vec_id = y.vec_id")
 def factor_cov(spark, sf):
-    e = spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 12")
-    b = e.select(F.col("vec_id").cast("int").alias("i"), F.posexplode(F.slice("embedding", 1, 3)).alias("l", "b")).select("i", "l", F.col("b").cast("double").alias("b"), (1.0 / (F.col("l") + 1)).alias("f"))
-    return rounded(covariance.factor_cov(b, b.select("i", F.lit(0.5).alias("d")).distinct()))
+    """The kernel's factor covariance, for every vector."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
+    return rounded(e.mapInPandas(_small_models(_cells_of), "vec_id long, i int, j int, cov double"))
+
+
+@query("factor_solve", f"WITH {_SMALL}, s AS (SELECT vec_id, sum(b * y / d) AS bz, sum(b * b / d) AS bb FROM e GROUP BY 1) SELECT vec_id, i, {rnd('y / d - b / d * bz / (1 / 2.0 + bb) AS x')} FROM e JOIN s USING (vec_id)")
+def factor_solve(spark, sf):
+    """The kernel's solution by Woodbury's formula, for every vector; with one factor it is Sherman and Morrison's."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
+    return rounded(e.mapInPandas(_small_models(_solution_of), "vec_id long, i int, x double"))
 
 
 _WB = "w AS (SELECT CAST(embedding[1] AS DOUBLE) AS b, CAST(embedding[2] AS DOUBLE) AS y, 0.5 + abs(CAST(embedding[3] AS DOUBLE)) AS d, vec_id FROM embeddings)"
@@ -323,7 +359,15 @@ def sw_position_status_p25(spark, sf):
     return engine(spark, sf, "p25", WINDOW).position_status.select("ts", "row_idx", "status")
 
 
-@query("turnover_capped")
+# the recurrence itself, row by row
+_CAPPED = f"""cw AS (SELECT row_idx, max(CASE WHEN asset_ord = 0 THEN cash END) AS c0, max(CASE WHEN asset_ord = 1 THEN cash END) AS c1, max(CASE WHEN asset_ord = 2 THEN cash END) AS c2 FROM cashq GROUP BY 1),
+    cap AS (SELECT -1 AS row_idx, 0.0::DOUBLE AS p0, 0.0::DOUBLE AS p1, 0.0::DOUBLE AS p2 UNION ALL
+        SELECT row_idx, CASE WHEN c0 IS NULL THEN 0.0 ELSE p0 + s0 * k END, CASE WHEN c1 IS NULL THEN 0.0 ELSE p1 + s1 * k END, CASE WHEN c2 IS NULL THEN 0.0 ELSE p2 + s2 * k END
+        FROM (SELECT *, CASE WHEN abs(s0) + abs(s1) + abs(s2) <= {CAPPED.max_turnover} THEN 1.0 ELSE {CAPPED.max_turnover} / (abs(s0) + abs(s1) + abs(s2)) END AS k
+              FROM (SELECT w.*, p0, p1, p2, coalesce(c0, 0) - p0 AS s0, coalesce(c1, 0) - p1 AS s1, coalesce(c2, 0) - p2 AS s2 FROM cap JOIN cw w ON w.row_idx = cap.row_idx + 1)))"""
+
+
+@query("turnover_capped", O.flow("p3", *SOL3, _CAPPED, out="SELECT q.ts, q.row_idx, q.asset_ord, q.status, round(CASE WHEN q.cash IS NOT NULL THEN CASE q.asset_ord WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END END, 5) AS cash FROM cashq q JOIN cap USING (row_idx)").replace("WITH ", "WITH RECURSIVE ", 1))
 def turnover_capped(spark, sf):
     return rounded(engine(spark, sf, "p3", CAPPED).cash_position, 5)
 
@@ -367,6 +411,12 @@ def solver_residual(spark, sf):
     return rounded(engine(spark, sf, "p25").solver_residual(), 9)
 
 
+@query("solver_residual_p2", O.flow("p2", *SOL2, out="SELECT ts, row_idx, CASE WHEN zero OR x0 IS NOT NULL THEN 0.0 END AS residual FROM sol"))
+def solver_residual_p2(spark, sf):
+    """What remains of the signal is below the nine digits kept wherever a solution exists."""
+    return rounded(engine(spark, sf, "p2").solver_residual(), 9)
+
+
 # ---- signal evaluation -------------------------------------------------------------------------
 
 
@@ -698,16 +748,15 @@ STREAM_CFG = EngineConfig(vola=8, corr=24, clip=3.0, shrink=0.5, aum=1e6)
 STREAM_WINDOW = EngineConfig(vola=8, corr=24, clip=3.0, shrink=0.5, aum=1e6, covariance=SlidingWindow(24, 2))
 
 
-def _streamed(spark: SparkSession, sf: str, cfg: EngineConfig) -> DataFrame:
-    """Runs the events table through the stream once; the result is a Parquet sink in the shared folder."""
+def _streamed(spark: SparkSession, sf: str, cfg: EngineConfig, asset: str = "event_type", names: list[str] = STREAM_ASSETS, hours: int = 1) -> DataFrame:
+    """Runs the whole events table through the stream once; the result is a Parquet sink in the shared folder."""
     from ..streaming.processor import step_stream
 
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()).rstrip("/")
-    root = f"{base}/plumbline-stream-{uuid.uuid4().hex}"
+    root = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
     ticks = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    ticks = ticks.select(F.lit("e5").alias("universe"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("asset"), (1 + F.col("value")).alias("value"))
-    out = step_stream(ticks, cfg, STREAM_ASSETS)
+    ticks = ticks.select(F.lit("e5").alias("universe"), F.col("ts").cast("timestamp").alias("ts"), F.expr(asset).alias("asset"), (1 + F.col("value")).alias("value"))
+    out = step_stream(ticks, cfg, names, every_ms=hours * 3_600_000)
     q = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).outputMode("append").start()
     q.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{root}/out")
@@ -718,6 +767,19 @@ def stream_step(spark, sf):
     return _streamed(spark, sf, STREAM_CFG)
 
 
+# three kinds of events in windows of six hours, stepped as a stream; the SQL solves the closed windows at once
+_SOL_STREAM = (O.returns_sql(STREAM_CFG), O.cov_sql(STREAM_CFG), O.solve3_sql(STREAM_CFG), f"sols AS (SELECT * REPLACE (CASE WHEN row_idx + 1 < {STREAM_CFG.corr} THEN 'warmup' ELSE status END AS status) FROM sol)", O.positions_sql(3).replace("JOIN sol s", "JOIN sols s"))
+
+
+@query("stream_positions", O.flow("e3", *_SOL_STREAM, out=f"SELECT ts, asset_ord, status, {rnd('vola')}, {rnd('cash', digits=4)} FROM cashq WHERE ts + INTERVAL 7 HOUR <= (SELECT max(ts) FROM events)"))
+def stream_positions(spark, sf):
+    asset = SOURCES["e3"][2]
+    out = _streamed(spark, sf, STREAM_CFG, asset, ["browse", "error", "order"], 6)
+    known = lambda c: F.nanvl(F.col(f"z.{c}"), F.lit(None).cast("double"))
+    flat = out.select(F.col("ts").cast("timestamp_ntz").alias("ts"), "status", F.posexplode(F.arrays_zip("vola", "cash")).alias("asset_ord", "z"))
+    return rounded(flat.select("ts", "asset_ord", "status", known("vola").alias("vola"), known("cash").alias("cash")), cash=4)
+
+
 @query("stream_sw")
 def stream_sw(spark, sf):
     return _streamed(spark, sf, STREAM_WINDOW)
