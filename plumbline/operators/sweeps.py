@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig, SlidingWindow
+from ..sources.settle import settle
 from . import pnl, solve, stats
 from .returns import enriched
 
@@ -45,7 +46,7 @@ def lambda_sweep(panel: DataFrame, cfg: EngineConfig, points: int = 21, periods:
 
 def sharpe_at_window_factors(panel: DataFrame, cfg: EngineConfig, grid: list[tuple[int, int]], periods: int = 252) -> DataFrame:
     """``universe, sharpe, window, n_factors`` for each pair."""
-    base = enriched(panel, cfg).persist()
+    base = settle(enriched(panel, cfg))  # every point of the grid reads it
     out = []
     for w, k in grid:
         own = dataclasses.replace(cfg, covariance=SlidingWindow(w, k))

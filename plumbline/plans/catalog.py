@@ -277,17 +277,27 @@ def woodbury_k1(spark, sf):
 def _dimension_model(spark, sf):
     """Second moments of the 64 embedding dimensions summed in the cluster, then a three-factor fit of one small matrix."""
     import numpy as np
+    import pandas as pd
 
     from ..functions.kernel import FactorModel
 
+    def moments(frames):
+        total, rows = 0.0, 0
+        for pdf in frames:
+            if len(pdf):
+                x = np.vstack(pdf.v.to_numpy())
+                total, rows = total + x.T @ x, rows + len(x)
+        if rows:
+            yield pd.DataFrame({"rows": [rows], "g": [np.asarray(total).ravel()]})
+
     e = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("embedding").cast("array<double>").alias("v"))
-    left = e.select("v", F.posexplode("v").alias("i", "x"))
-    cells = left.select("i", "x", F.posexplode("v").alias("j", "y")).groupBy("i", "j").agg(F.avg(F.col("x") * F.col("y")).alias("g"))
-    rows = cells.collect()  # the square of the number of dimensions, whatever the rows
-    n = 1 + max(r.i for r in rows)
-    gram = np.zeros((n, n))
-    for r in rows:
-        gram[r.i, r.j] = r.g
+    sums = e.mapInPandas(moments, "rows long, g array<double>").select("rows", F.posexplode("g").alias("k", "g")).groupBy("k").agg(F.sum("g").alias("g"), F.sum("rows").alias("rows"))
+    cells = sums.collect()  # the square of the number of dimensions, whatever the rows
+    n = round(len(cells) ** 0.5)
+    gram = np.zeros(n * n)
+    for r in cells:
+        gram[r.k] = r.g / r.rows
+    gram = gram.reshape(n, n)
     return FactorModel.from_gram(gram, 3)
 
 

@@ -61,9 +61,11 @@ def complete(observed: DataFrame, *, universe: str = "main", names: list[str] |
     """The long form of sparse observations ``ts, asset, price``: every timestamp meets every asset.
 
     ``names`` fixes the assets and their order; otherwise the distinct ones are taken in order.
-    Timestamps, not cells, are numbered, so the sequential step sees one row each. ``mu`` is null.
+    A repeated timestamp and asset is an error that names the timestamp. Timestamps, not cells, are numbered, so the sequential step sees one row each. ``mu`` is null.
     """
     cells = observed.select("ts", F.struct("asset", "price").alias("c")).groupBy("ts").agg(F.collect_list("c").alias("cells"))
+    twice = F.size(F.array_distinct(F.col("cells.asset"))) < F.size("cells")
+    cells = cells.withColumn("cells", F.when(twice, F.raise_error(F.concat(F.lit("an asset has several prices at "), F.col("ts").cast("string")))).otherwise(F.col("cells")))
     spark = observed.sparkSession
     if names is None:
         found = observed.select("asset").distinct()
