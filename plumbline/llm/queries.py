@@ -97,7 +97,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe_codec": op10_bpe_codec,
 }
 
+#: Words between ASCII white spaces, and between all ASCII marks.
+RUNS_SQL = r"[^\x20\x09-\x0D]+"
+PLAIN_SQL = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": f"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{RUNS_SQL}') AS w FROM documents),
+        t AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT *, unnest(range(1, len(w) - 48)) AS i FROM w)),
+        m AS (SELECT h, min(doc_id) AS least FROM t GROUP BY h),
+        g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM t JOIN m USING (h) WHERE doc_id > least),
+        x AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM w),
+        k AS (SELECT x.doc_id, count(g.i) AS n_removed, string_agg(word, ' ' ORDER BY x.i) FILTER (g.i IS NULL) AS kept FROM x LEFT JOIN g ON x.doc_id = g.doc_id AND x.i = g.i GROUP BY x.doc_id)
+        SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM w LEFT JOIN k ON w.doc_id = k.doc_id""",
+    "op3_near_dedup": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({UPPER_SQL}, '{RUNS_SQL}') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(len(w) - 2, least(len(w), 1)) + 1)) AS i FROM w)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT l.doc_id AS a, r.doc_id AS b, count(*) AS same FROM s l JOIN s r ON l.s = r.s AND l.doc_id <> r.doc_id GROUP BY ALL),
+        e AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * same >= 85 * (x.n + y.n - same)),
+        c(node, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT node, b FROM c JOIN e ON seen = a),
+        f AS (SELECT node, min(seen) AS component_id FROM c GROUP BY node)
+        SELECT f.node AS doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, f.node = component_id AS kept FROM f LEFT JOIN n ON f.node = n.doc_id""",
     "op5_chat_format": r"""
         WITH c AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -116,6 +138,15 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(length(lead) + length(safe)) + length('<|im_end|>') + 1 AS BIGINT) AS formatted_chars
         FROM q GROUP BY conv_id""",
+    "op6_decontaminate": f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({UPPER_SQL}, '{PLAIN_SQL}') AS w FROM documents),
+        q AS (SELECT item_id, regexp_extract_all({UPPER_SQL}, '{PLAIN_SQL}') AS w FROM benchmark),
+        i AS (SELECT DISTINCT item_id, least(len(w), 5) AS k, array_to_string(w[j:j + 4], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS j FROM q)),
+        n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id),
+        k AS (SELECT DISTINCT k FROM i),
+        s AS (SELECT DISTINCT doc_id, k, array_to_string(w[j:j + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS j FROM d, k WHERE len(w) >= 5 OR len(w) = k))
+        SELECT doc_id, item_id, CAST(any_value(n) AS BIGINT) AS item_shingles, CAST(count(*) AS BIGINT) AS found, count(*) / any_value(n) AS containment
+        FROM s JOIN i USING (k, s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING 100 * count(*) >= 80 * any_value(n)""",
     "op9_exact_dedup": f"""
         WITH t AS (SELECT doc_id, sha256({UPPER_SQL}) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, max(doc_id) AS keep_id, CAST(count(*) AS BIGINT) AS group_size FROM t GROUP BY text_sha256)
