@@ -67,13 +67,20 @@ def gram_hash(w0: str, w1: str, w2: str, w3: str, whole: Column) -> Column:
     return F.when(whole, F.xxhash64(F.lit(KGRAM), w0, w1, w2, w3)).otherwise(F.xxhash64(F.lit(2), w0, w1))
 
 
+def templates() -> list[tuple[str, bool, list[str], int, int | None]]:
+    """Of each phrase and template: label, whether it is a base phrase, words, words of its k-grams, and where the naming word stands."""
+    out = []
+    for label, phrase, base in [*((v, k, True) for k, v in BASE.items()), *((k, v, False) for k, v in TEMPLATES)]:
+        w = phrase.replace(".", " ").split()
+        k = 2 if base or len(w) < SHORT else KGRAM
+        out.append((label, base, w, k, None if base or NAMING.get(label) not in w else w.index(NAMING[label])))
+    return out
+
+
 def template_table(spark: SparkSession) -> DataFrame:
     """One row per k-gram of each phrase and template: a few hundred, whatever the corpus."""
     rows = []
-    for t, (label, phrase, base) in enumerate([*((v, k, True) for k, v in BASE.items()), *((k, v, False) for k, v in TEMPLATES)]):
-        w = phrase.replace(".", " ").split()
-        k = 2 if base or len(w) < SHORT else KGRAM
-        name = None if base or NAMING.get(label) not in w else w.index(NAMING[label])
+    for t, (label, base, w, k, name) in enumerate(templates()):
         around = lambda q: w[q] if not base and k == 2 and 0 <= q < len(w) else None  # noqa: B023, E731
         rows += [(t, label, base, len(w), k, name, p, *w[p : p + k], *[None] * (KGRAM - k), around(p - 2), around(p + 2), around(p + 3)) for p in range(len(w) - k + 1)]
     names = ", ".join(f"_t{i} string" for i in range(KGRAM))

@@ -14,7 +14,7 @@ from .common import scratch_dir, table
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
 from .html_extract import extract_main_text
-from .license_scan import license_scan
+from .license_scan import COVERAGE, SLACK, license_scan, templates
 from .near_dedup import near_duplicates
 from .quality_qda import quality_scores
 from .substring_dedup import substring_dedup
@@ -101,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 RUNS_SQL = r"[^\x20\x09-\x0D]+"
 PLAIN_SQL = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+#: Phrases and templates as rows: number, label, base, words, words of a k-gram, place of the naming word.
+TEMPLATES_SQL = ", ".join(f"({t}, '{label}', {base}, string_split('{' '.join(w)}', ' '), {k}, {'NULL' if name is None else name})" for t, (label, base, w, k, name) in enumerate(templates()))
+
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": f"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{RUNS_SQL}') AS w FROM documents),
@@ -120,6 +123,25 @@ ORACLE_SQL: dict[str, str] = {
         c(node, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT node, b FROM c JOIN e ON seen = a),
         f AS (SELECT node, min(seen) AS component_id FROM c GROUP BY node)
         SELECT f.node AS doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, f.node = component_id AS kept FROM f LEFT JOIN n ON f.node = n.doc_id""",
+    "op4_license_scan": f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({UPPER_SQL}, '{PLAIN_SQL}') AS w FROM documents),
+        t(tpl, label, base, w, k, name) AS (VALUES {TEMPLATES_SQL}),
+        g AS (SELECT tpl, label, base, len(w) AS size, k, name, p, w[p + 1] AS t0, w[p + 2] AS t1, CASE WHEN k = 4 THEN w[p + 3] END AS t2, CASE WHEN k = 4 THEN w[p + 4] END AS t3,
+                     CASE WHEN near AND p >= 2 THEN w[p - 1] END AS o0, CASE WHEN near THEN w[p + 3] END AS o2, CASE WHEN near THEN w[p + 4] END AS o3
+              FROM (SELECT *, NOT base AND k = 2 AS near, unnest(range(0, len(w) - k + 1)) AS p FROM t)),
+        x AS (SELECT doc_id, i, w[i + 1] AS w0, w[i + 2] AS w1, w[i + 3] AS w2, w[i + 4] AS w3, CASE WHEN i >= 2 THEN w[i - 1] END AS b2 FROM (SELECT *, unnest(range(0, len(w) - 1)) AS i FROM d)),
+        h AS (SELECT doc_id, tpl, label, base, size, name, i - p AS diag, unnest([p, p + 1, CASE WHEN b2 = o0 THEN p - 2 END, CASE WHEN w2 = o2 OR w3 = o2 OR k = 4 THEN p + 2 END, CASE WHEN w3 = o3 OR k = 4 THEN p + 3 END]) AS place
+              FROM x JOIN g ON w0 = t0 AND w1 = t1 AND (k = 2 OR (w2 = t2 AND w3 = t3))),
+        v AS (SELECT doc_id, tpl, label, base, size, name, diag, count(DISTINCT place) = size AND base AS whole FROM h GROUP BY doc_id, tpl, label, base, size, name, diag),
+        n AS (SELECT *, sum(CASE WHEN diag - before <= {SLACK} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, tpl ORDER BY diag) AS island
+              FROM (SELECT *, lag(diag) OVER (PARTITION BY doc_id, tpl ORDER BY diag) AS before FROM v)),
+        s AS (SELECT doc_id, tpl, island, n.label, n.base, n.size, count(DISTINCT place) AS words, bool_or(place = n.name) AS named FROM n JOIN h USING (doc_id, tpl, diag) GROUP BY ALL),
+        y AS (SELECT doc_id, tpl, island, count(*) FILTER (whole) AS c, min(diag) FILTER (whole) AS lo, max(diag) FILTER (whole) AS hi FROM n GROUP BY ALL),
+        z AS (SELECT *, CASE WHEN base THEN (words - 1) / (size - 1) ELSE words / size END AS share FROM s JOIN y USING (doc_id, tpl, island)),
+        f AS (SELECT doc_id, sum(c) AS n_base, min(lo) AS first_word, max(hi) AS last_word, max(share) AS score, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND c > 0) AS base_labels,
+                     string_agg(DISTINCT label, ',' ORDER BY label) FILTER (CASE WHEN base THEN c > 0 ELSE share >= {COVERAGE} AND coalesce(named, true) END) AS labels FROM z GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+               coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM d LEFT JOIN f USING (doc_id)""",
     "op5_chat_format": r"""
         WITH c AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
