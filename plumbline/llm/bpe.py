@@ -120,7 +120,13 @@ class WordEncoder:
         self.letters = {b: c for b, c in _byte_letters().items()}
         self.model = self.tok.model
         self.pieces = Recent(self._piece, most)
-        self.words = Recent(lambda word: self.ids(" " + word), most)  # without the space before them
+        self.words = Recent(self._word, most)  # without the space before them
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word after a space; one of ASCII letters is a piece by itself and need not be remembered as such too."""
+        if self.plain and word.isascii() and word.isalpha() and not self.special(" " + word):
+            return array("I", [t.id for t in self.model.tokenize("\u0120" + word)]).tobytes()
+        return self.ids(" " + word)
 
     def _piece(self, piece: str) -> bytes:
         text = piece.replace(" ", "\u0120") if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
