@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import lower_ascii
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words in a text that is not lower-cased yet.
+RAW_WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 KGRAM = 4
 #: Templates of fewer words have k-grams of two words and look at the words around a hit.
 SHORT = 15
@@ -96,8 +98,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     or empty text has no words, empty labels and score 0. Rows that repeat id and text get the same
     answer each; a null id is kept. Extra columns are not read; an empty table gives no rows.
     """
-    text = lower_ascii(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("_key"), F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)).alias("_w"))
+    raw = F.coalesce(F.col(text_col), F.lit(""))
+    text, key = lower_ascii(raw), F.xxhash64(raw).alias("_key")
+    rows = docs.select(F.col(id_col).alias("doc_id"), key, F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)).alias("_w"))
     back = F.concat(F.array(F.lit(None), F.lit(None)).cast("array<string>"), "_w")
     grams = F.arrays_zip(*[F.slice("_w", k + 1, F.greatest(F.size("_w"), F.lit(1))).alias(f"_w{k}") for k in range(KGRAM)], back.alias("_b2"))
     places = rows.select("doc_id", "_key", F.posexplode(grams).alias("pos", "g")).select("doc_id", "_key", "pos", *[F.col(f"g._w{k}") for k in range(KGRAM)], F.col("g._b2"))
@@ -140,7 +143,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.array_sort(F.collect_set(F.when(counts, F.col("label")))).alias("labels"), F.max("share").alias("score"),
         F.array_sort(F.collect_set(F.when(counts, F.struct("first", "last", "label")))).alias("spans"),
     ).withColumnRenamed("doc_id", "_id").withColumnRenamed("_key", "_k")
-    n = rows.select("doc_id", "_key", F.size("_w").cast("long").alias("n_words"))
+    # words are counted without lower-casing the text a second time
+    n = docs.select(F.col(id_col).alias("doc_id"), key, F.size(F.regexp_extract_all(raw, F.lit(RAW_WORDS), F.lit(0))).cast("long").alias("n_words"))
     out = n.join(found, n["doc_id"].eqNullSafe(found["_id"]) & (n["_key"] == found["_k"]), "left")
     return out.select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), F.col("first_word").cast("long").alias("first_word"), F.col("last_word").cast("long").alias("last_word"),
