@@ -24,11 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bundle, n_partitions, read_file, scratch_dir, ship, unbundle, write_once
+from .common import bundle, n_partitions, read_file, remembers, scratch_dir, ship, turn_to, unbundle, write_once
 
 #: A space between two characters that are no white space, separator or control.
 WORD_SPLIT = r"(?<=[^\s\p{Z}\p{C}]) (?=[^\s\p{Z}\p{C}])"
-PACK_BYTES = 24 << 20
+PACK_BYTES = 48 << 20
 #: Rows that the encoder holds back to send a pack's ids together.
 HOLD_ROWS = 200_000
 #: Pieces remembered while words come in order.
@@ -161,6 +161,9 @@ def shared_encoder(path: str, most: int) -> WordEncoder:
     return WordEncoder(path, most)
 
 
+remembers(shared_encoder.cache_clear)
+
+
 def split_words(text: Column) -> Column:
     """Words without the space that stands before all but the first; null counts as empty."""
     return F.split(F.coalesce(text, F.lit("")), WORD_SPLIT, -1)
@@ -172,6 +175,7 @@ def _file(key: int) -> str:
 
 def _packer(root: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("bpe pack")
         held: list[pa.RecordBatch] = []
         size = made = 0
         task = TaskContext.get().partitionId()
@@ -180,13 +184,15 @@ def _packer(root: str):
             nonlocal made
             made += 1
             t = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
             lists = t.column("words").chunk(0)
             # the first word of a document has no space before it, all others have
             lengths = np.diff(lists.offsets.to_numpy()).astype("<i8")
             coded = lists.flatten().dictionary_encode()
-            at = coded.indices.to_numpy().astype("<i4")
+            at = coded.indices.to_numpy().astype("<i4", copy=False)
             ids = t.column("doc_id").combine_chunks()
             ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+            del t, lists  # the words themselves: what follows needs the distinct ones alone
             null = ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
             doc = ids.fill_null(0).to_numpy().astype("<i8")
             data = bundle([doc.tobytes(), null.tobytes(), lengths.tobytes(), np.ascontiguousarray(at.view(np.uint8).reshape(-1, 4).T).tobytes()])
@@ -205,9 +211,10 @@ def _packer(root: str):
             if b.num_rows:
                 held.append(b)
                 size += b.nbytes
+            del b
             if size >= PACK_BYTES:
                 out = flush()
-                held, size = [], 0
+                size = 0
                 yield from (out.slice(k, 20_000) for k in range(0, out.num_rows, 20_000))
         if held:
             out = flush()
@@ -224,6 +231,7 @@ def _encoder(path: str):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("bpe encode")
         enc = shared_encoder(path, SORTED_PIECES)
         held: dict[int, list] = {}
         count = 0
@@ -266,6 +274,7 @@ _FIELDS = {"doc_id": ("long", pa.int64()), "n_tokens": ("long", pa.int64()), "id
 
 def _restorer(root: str, path: str, fields: list[str]):
     def run(key: tuple, group: pa.Table) -> pa.Table:
+        turn_to("bpe restore")
         at, sizes, ids = [], [], []
         for blob in group.column("blob").to_pylist():
             a, s, i = map(_ints, unbundle(blob, 3))
@@ -284,14 +293,14 @@ def _restorer(root: str, path: str, fields: list[str]):
             raw = [load_tokenizer(path).decode(x, skip_special_tokens=False).encode() for x in pa.ListArray.from_arrays(pa.array(offsets), flat).to_pylist()]
         doc, null, lengths, words = unbundle(read_file(root, _file(key[0].as_py())), 4)
         words = _ints(words)
-        where = np.full(int(max(at.max(), words.max(initial=0))) + 1, -1, np.int64)
-        where[at] = np.arange(len(at))  # an id list sent twice by a retried task is the same list
+        where = np.full(int(max(at.max(), words.max(initial=0))) + 1, -1, np.int32)
+        where[at] = np.arange(len(at), dtype=np.int32)  # an id list sent twice by a retried task is the same list
         start, words = 0, where[words]
         if words.min(initial=0) < 0:
             raise RuntimeError("a pack lacks the ids of some of its words: its rows were dealt out in another order when a task was repeated")
         out: dict[str, list] = {c: [] for c in fields}
         for d, none, n in zip(np.frombuffer(doc, "<i8").tolist(), null, np.frombuffer(lengths, "<i8").tolist(), strict=True):
-            own = 2 * words[start : start + n] + 1
+            own = 2 * words[start : start + n].astype(np.int64) + 1
             start += n
             own[:1] -= 1
             k = counts[own]
@@ -312,7 +321,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     counts as empty and has no ids; rows that repeat an id give a row each; a null id stays null; an
     empty table gives no rows. Strings of special tokens inside a text become their ids, as in the
     library. ``id_col`` must hold integers. Extra columns are not read. Memory is bounded by a pack
-    (about 24 MB of words, or one document where that is longer). Pack files are named by their
+    (about 48 MB of words, or one document where that is longer). Pack files are named by their
     content and lie in the shared scratch folder, so a retried task writes the same file again.
     """
     spark = docs.sparkSession

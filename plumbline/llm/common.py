@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +20,11 @@ from pyspark.sql import functions as F
 
 #: Keys of a few dozen bytes that a broadcast may hold; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Rows of an Arrow batch at most: rows of long texts lie in JVM and Python memory a batch at a time.
+BATCH_ROWS = 2_000
+#: What empties the memories of this Python worker, and the work it was last given.
+_forget: list[Callable[[], object]] = []
+_work = ""
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -114,8 +122,32 @@ def unbundle(data: bytes, n: int) -> list[bytes]:
     return [dec.decompress(data[e - s : e]) for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
 
 
+def remembers(forget: Callable[[], object]) -> None:
+    """Names a function that empties a memory of this Python worker when it turns to other work."""
+    _forget.append(forget)
+
+
+def turn_to(work: str) -> None:
+    """Where a task of some work begins: a worker that did other work before forgets it and gives free memory back.
+
+    Spark keeps Python workers from one stage to the next, so memories of all stages would add up.
+    """
+    global _work
+    if work == _work:
+        return
+    _work = work
+    for forget in _forget:
+        forget()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
+
+
 def ship(spark: SparkSession) -> None:
-    """Gives executors this package once per context, so that workers can import it anywhere."""
+    """Gives executors this package once per context, so that workers can import it anywhere; bounds the session's Arrow batches to ``BATCH_ROWS``."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_plumbline_shipped", False):
         return

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_file, scratch_dir, ship, write_once
+from .common import read_file, remembers, scratch_dir, ship, turn_to, write_once
 from .textkit import U, mix64, rolling, word_hashes
 
 COORDINATES = 64
@@ -189,6 +189,9 @@ def _read_items(root: str, block: int) -> Items:
     return pickle.loads(read_file(root, f"items-{block}"))  # noqa: S301  written by item_blocks
 
 
+remembers(_read_items.cache_clear)
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, item_col: str = "item_id", item_text: str = "text",
     shingle_words: int = 5, share: tuple[int, int] = (80, 100), coordinates: int = COORDINATES, block_shingles: int = BLOCK_SHINGLES,
@@ -209,6 +212,7 @@ def contaminated(
     blocks = item_blocks(benchmark, item_col, item_text, shingle_words, coordinates, block_shingles)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("decontaminate")
         seeds = _seeds(coordinates)
         for b in batches:
             texts = pc.cast(b.column("text"), pa.binary()).to_pylist()
@@ -237,6 +241,7 @@ def drop_contaminated(
     blocks = item_blocks(benchmark, item_col, item_text, shingle_words, coordinates, block_shingles)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("decontaminate")
         seeds = _seeds(coordinates)
         for b in batches:
             texts = pc.cast(b.column(at), pa.binary()).to_pylist()

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, ship, sized
+from .common import fresh, materialise, ship, sized, turn_to
 from .textkit import U, mix64, shingle_set
 
 ROWS_PER_BAND = 5
@@ -68,6 +68,7 @@ def _words(text: bytes | None) -> list[bytes]:
 
 def _sketcher(k: int, bands: int, rows: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("near_dedup")
         for b in batches:
             n, sig, band = [], [], []
             for text in pc.cast(b.column("text"), pa.binary()).to_pylist():
@@ -86,6 +87,7 @@ def _verifier(k: int, num: int, den: int) -> Callable:
     """Passes the pairs whose full shingle sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("near_dedup")
         held: tuple[bytes | None, np.ndarray] = (None, np.empty(0, U))
         for b in batches:
             keep = []
@@ -133,6 +135,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
 
 def _shingle_rows(k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("near_dedup")
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:

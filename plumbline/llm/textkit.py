@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .common import remembers
+
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -22,6 +24,7 @@ class _Hashes(dict):
 
 
 _hashes = _Hashes()
+remembers(_hashes.clear)
 _powers = {"b": np.ones(1, U), "i": np.ones(1, U)}
 
 

@@ -534,6 +534,21 @@ def test_packs_with_missing_ids_raise(spark, path, tmp_path):
         _restorer(str(tmp_path), path, ["doc_id", "ids"])((pa.scalar(1),), group)
 
 
+def test_workers_forget_earlier_work_and_batches_are_bounded(spark, path):
+    from plumbline.llm import bpe, common, textkit
+
+    common.turn_to("near_dedup")
+    textkit.word_hashes([b"one", b"two"])
+    bpe.shared_encoder(path, 50)
+    common.turn_to("near_dedup")
+    assert len(textkit._hashes) == 2 and bpe.shared_encoder.cache_info().currsize == 1
+    common.turn_to("bpe pack")
+    assert not textkit._hashes and not bpe.shared_encoder.cache_info().currsize
+    common.ship(spark)
+    sizes = spark.range(0, 5000, 1, 1).mapInArrow(lambda batches: (type(b).from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+    assert [r.n for r in sizes.collect()] == [2000, 2000, 1000]
+
+
 def brute_license(text):
     """The method in plain loops over one text: hits of k-grams, words that agree, merged diagonals, spans."""
     from plumbline.llm import license_scan as L
