@@ -33,6 +33,8 @@ PACK_BYTES = 48 << 20
 HOLD_ROWS = 200_000
 #: Pieces remembered while words come in order.
 SORTED_PIECES = 60_000
+#: Characters of the texts whose words are looked up together.
+BATCH_CHARS = 8 << 20
 #: The pre-tokenizer pattern of the vocabulary file; a fixed value.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -154,6 +156,40 @@ class WordEncoder:
         head, *rest = text.split(" ")
         return np.frombuffer(self.ids(head) + b"".join([got[w] for w in rest]), "<u4")
 
+    def encode_many(self, texts: list[str], most_chars: int = BATCH_CHARS) -> Iterator[np.ndarray]:
+        """Ids of each text in turn, as :meth:`encode` gives them; each word of a batch is looked up once for all its texts."""
+        start = size = 0
+        for k, text in enumerate(texts):
+            if k > start and size + len(text) > most_chars:
+                yield from self._batch(texts[start:k])
+                start, size = k, 0
+            size += len(text)
+        if start < len(texts):
+            yield from self._batch(texts[start:])
+
+    def _batch(self, texts: list[str]) -> list[np.ndarray]:
+        # a single long text stays with encode, which needs no 32-bit offsets
+        easy = [self.plain and len(t) <= BATCH_CHARS and not self.special(t) and "  " not in t and " \n" not in t and "\n " not in t and t.replace("\n", "").isprintable() for t in texts]
+        if not any(easy):
+            return [self.encode(t) for t in texts]
+        lists = pc.split_pattern(pa.array([t if e else None for t, e in zip(texts, easy, strict=True)], pa.string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        got = self.words
+        blobs = [got[w] for w in coded.dictionary.to_pylist()]
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        # a text's first word has no space before it: it takes a place of its own
+        at = coded.indices.to_numpy().copy()
+        heads = np.flatnonzero(easy)
+        at[starts[heads]] = len(blobs) + np.arange(len(heads))
+        blobs += [self.ids(texts[k].partition(" ")[0]) for k in heads.tolist()]
+        offsets = np.zeros(len(blobs) + 1, np.int32)
+        np.cumsum(np.fromiter(map(len, blobs), np.int64, len(blobs)), out=offsets[1:])
+        taken = pa.Array.from_buffers(pa.binary(), len(blobs), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(blobs))]).take(pa.array(at))
+        _, cuts, data = taken.buffers()
+        ids, cuts = np.frombuffer(data or b"", "<u4"), np.frombuffer(cuts, "<i4")[: len(at) + 1] >> 2
+        return [ids[cuts[a] : cuts[b]] if e else self.encode(t) for t, e, a, b in zip(texts, easy, starts.tolist(), ends.tolist(), strict=True)]
+
 
 @lru_cache(maxsize=2)
 def shared_encoder(path: str, most: int) -> WordEncoder:

@@ -134,7 +134,7 @@ def _writer(path: str, tokenizer: str, end_id: int, block_ids: int):
         fs, root = filesystem(path)
         end = np.array([end_id], "<u4")
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), enc.encode_many(b.column("text").to_pylist()), strict=True):
                 if shard is None:
                     from pyspark import TaskContext
 
@@ -143,7 +143,7 @@ def _writer(path: str, tokenizer: str, end_id: int, block_ids: int):
                     name = f"{root}/.{low:08d}-{uuid.uuid4().hex}"
                     out = fs.open_output_stream(name)
                     shard = _ShardWriter(out, block_ids)
-                shard.add(doc_id, np.concatenate([enc.encode(text), end]))
+                shard.add(doc_id, np.concatenate([ids, end]))
         if shard is not None:
             shard.close()
             out.close()

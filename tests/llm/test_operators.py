@@ -173,6 +173,20 @@ def test_word_encoder_equals_library(path):
         assert enc.encode(t).tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_texts_encoded_together_equal_library(path):
+    enc, tok, made = WordEncoder(path, most=50), load_tokenizer(path), []
+    rng = random.Random(1)
+    letters = ["a", "B", "é", "1", "'s", ".", "…", " ", " ", " ", "  ", "\n", "\t", "漢", "😀", "<|endoftext|>"]
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 12))) for _ in range(2000)]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    for most in (1, 60, 1 << 20):
+        assert [x.tolist() for x in enc.encode_many(texts, most)] == want
+    assert list(enc.encode_many([])) == [] and [x.tolist() for x in enc.encode_many(["", "a  b"])] == [[], tok.encode("a  b").ids]
+    enc.words = type(enc.words)(lambda w: made.append(w) or enc._word(w), 2)  # a word is looked up once, however little is remembered
+    list(enc.encode_many([prose(1, 300)] * 3))
+    assert len(made) == len(set(made))
+
+
 def test_bpe_round_trip(spark, corpus, path):
     tok = load_tokenizer(path)
     got = sorted(map(tuple, encode_decode(frame(spark, corpus), path).collect()), key=repr)
