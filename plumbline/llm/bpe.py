@@ -24,11 +24,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bundle, n_partitions, read_file, remembers, scratch_dir, ship, turn_to, unbundle, write_once
+from .common import BATCH_ROWS, bundle, give_back, n_partitions, read_file, remembers, scratch_dir, ship, turn_to, unbundle, write_once
 
 #: A space between two characters that are no white space, separator or control.
 WORD_SPLIT = r"(?<=[^\s\p{Z}\p{C}]) (?=[^\s\p{Z}\p{C}])"
 PACK_BYTES = 48 << 20
+#: Bytes of ids and texts that a pack is restored by at a time; a longer document is one part.
+PART_BYTES = 4 << 20
+#: Lists of ids that are turned into strings at a time.
+WORDS_AT_ONCE = 100_000
 #: Rows that the encoder holds back to send a pack's ids together.
 HOLD_ROWS = 200_000
 #: Pieces remembered while words come in order.
@@ -212,25 +216,18 @@ def _file(key: int) -> str:
 def _packer(root: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn_to("bpe pack")
-        held: list[pa.RecordBatch] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, pa.DictionaryArray]] = []
         size = made = 0
         task = TaskContext.get().partitionId()
 
         def flush() -> pa.RecordBatch:
             nonlocal made
             made += 1
-            t = pa.Table.from_batches(held).combine_chunks()
+            doc, null, lengths = (np.concatenate(x) for x in list(zip(*held, strict=True))[:3])
+            coded = pa.chunked_array([h[3] for h in held]).unify_dictionaries().combine_chunks()
             held.clear()
-            lists = t.column("words").chunk(0)
-            # the first word of a document has no space before it, all others have
-            lengths = np.diff(lists.offsets.to_numpy()).astype("<i8")
-            coded = lists.flatten().dictionary_encode()
+            coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
             at = coded.indices.to_numpy().astype("<i4", copy=False)
-            ids = t.column("doc_id").combine_chunks()
-            ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-            del t, lists  # the words themselves: what follows needs the distinct ones alone
-            null = ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
-            doc = ids.fill_null(0).to_numpy().astype("<i8")
             data = bundle([doc.tobytes(), null.tobytes(), lengths.tobytes(), np.ascontiguousarray(at.view(np.uint8).reshape(-1, 4).T).tobytes()])
             digest = hashlib.sha256(data)
             for b in coded.dictionary.buffers():
@@ -245,8 +242,14 @@ def _packer(root: str):
 
         for b in batches:
             if b.num_rows:
-                held.append(b)
+                ids, lists = b.column("doc_id"), b.column("words")
+                doc, null = ids.fill_null(0).to_numpy().astype("<i8"), ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
+                # the first word of a document has no space before it, all others have
+                lengths = np.diff(lists.offsets.to_numpy()).astype("<i8")
+                # of the words themselves, what follows needs the distinct ones alone
+                held.append((doc, null, lengths, lists.flatten().dictionary_encode()))
                 size += b.nbytes
+                del ids, lists
             del b
             if size >= PACK_BYTES:
                 out = flush()
@@ -308,8 +311,11 @@ def _ints(plane: bytes) -> np.ndarray:
 _FIELDS = {"doc_id": ("long", pa.int64()), "n_tokens": ("long", pa.int64()), "ids": ("string", pa.string()), "decoded": ("string", pa.string()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
 
 
-def _restorer(root: str, path: str, fields: list[str]):
-    def run(key: tuple, group: pa.Table) -> pa.Table:
+def _restorer(root: str, path: str, fields: list[str], most_bytes: int = PART_BYTES):
+    """Turns the positions of a pack into ids and texts, ``most_bytes`` and ``BATCH_ROWS`` rows at a time."""
+    comma, nothing = pa.scalar(",", pa.large_string()), pa.scalar(b"", pa.large_binary())
+
+    def run(key: tuple, group: pa.Table) -> Iterator[pa.RecordBatch]:
         turn_to("bpe restore")
         at, sizes, ids = [], [], []
         for blob in group.column("blob").to_pylist():
@@ -320,32 +326,56 @@ def _restorer(root: str, path: str, fields: list[str]):
         # two lists of ids for each word: at a text's start, and after a space
         at = np.concatenate(at)
         counts = np.concatenate(sizes)
-        flat = pa.array(np.concatenate(ids))
-        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        csv = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), pc.cast(flat, pa.string())), ",").to_pylist()
-        if cuts_words(path):
-            raw = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), pc.take(vocabulary_pieces(path), flat)), b"").to_pylist()
-        else:  # a word is a text
-            raw = [load_tokenizer(path).decode(x, skip_special_tokens=False).encode() for x in pa.ListArray.from_arrays(pa.array(offsets), flat).to_pylist()]
+        flat = np.concatenate(ids)
+        del sizes, ids
+        ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+        csv, raw = (pa.concat_arrays(x) for x in zip(*(strings(flat, ends[k : k + WORDS_AT_ONCE + 1]) for k in range(0, len(counts), WORDS_AT_ONCE)), strict=True))
+        del flat, ends
         doc, null, lengths, words = unbundle(read_file(root, _file(key[0].as_py())), 4)
         words = _ints(words)
         where = np.full(int(max(at.max(), words.max(initial=0))) + 1, -1, np.int32)
         where[at] = np.arange(len(at), dtype=np.int32)  # an id list sent twice by a retried task is the same list
-        start, words = 0, where[words]
+        words = where[words]
         if words.min(initial=0) < 0:
             raise RuntimeError("a pack lacks the ids of some of its words: its rows were dealt out in another order when a task was repeated")
-        out: dict[str, list] = {c: [] for c in fields}
-        for d, none, n in zip(np.frombuffer(doc, "<i8").tolist(), null, np.frombuffer(lengths, "<i8").tolist(), strict=True):
-            own = 2 * words[start : start + n].astype(np.int64) + 1
-            start += n
-            own[:1] -= 1
-            k = counts[own]
-            text = ",".join([csv[i] for i in (own if k.all() else own[k > 0]).tolist()])
-            got = b"".join([raw[i] for i in own.tolist()]).decode("utf-8", "replace")
-            row = {"doc_id": None if none else d, "n_tokens": int(k.sum()), "ids": text, "decoded": got}
-            for c in fields:
-                out[c].append(row[c] if c in row else hashlib.sha256(row[c.removesuffix("_sha256")].encode()).hexdigest())
-        return pa.table({c: pa.array(out[c], _FIELDS[c][1]) for c in fields})
+        del at, where
+        docs = pa.array(np.frombuffer(doc, "<i8"), mask=np.frombuffer(null, np.uint8).astype(bool))
+        cuts = np.concatenate([[0], np.cumsum(np.frombuffer(lengths, "<i8"))])
+        weights = (pc.binary_length(csv).to_numpy() + pc.binary_length(raw).to_numpy())[1::2].astype(np.int32)
+        return parts(docs, words, cuts, counts, csv, raw, np.cumsum(np.add.reduceat(weights[words], cuts[:-1], dtype=np.int64)))
+
+    def strings(flat: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """For lists of ids: the ids joined by commas, and the bytes they stand for."""
+        flat, offsets = pa.array(flat[ends[0] : ends[-1]]), pa.array((ends - ends[0]).astype(np.int32))
+        csv = pc.binary_join(pa.ListArray.from_arrays(offsets, pc.cast(flat, pa.large_string())), comma)
+        if cuts_words(path):
+            return csv, pc.binary_join(pa.ListArray.from_arrays(offsets, pc.take(vocabulary_pieces(path), flat).cast(pa.large_binary())), nothing)
+        # a word is a text
+        return csv, pa.array([load_tokenizer(path).decode(x, skip_special_tokens=False).encode() for x in pa.ListArray.from_arrays(offsets, flat).to_pylist()], pa.large_binary())
+
+    def parts(docs: pa.Array, words: np.ndarray, cuts: np.ndarray, counts: np.ndarray, csv: pa.Array, raw: pa.Array, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        start = 0
+        while start < len(docs):
+            before = sizes[start - 1] if start else 0
+            end = min(max(start + 1, int(np.searchsorted(sizes, before + most_bytes, "right"))), start + BATCH_ROWS, len(docs))
+            yield part(docs[start:end], words[cuts[start] : cuts[end]], cuts[start : end + 1] - cuts[start], counts, csv, raw)
+            start = end
+        give_back()
+
+    def part(docs: pa.Array, words: np.ndarray, cuts: np.ndarray, counts: np.ndarray, csv: pa.Array, raw: pa.Array) -> pa.RecordBatch:
+        own = 2 * words.astype(np.int64) + 1
+        own[cuts[:-1][np.diff(cuts) > 0]] -= 1
+        k = counts[own]
+        out: dict[str, pa.Array] = {"doc_id": docs, "n_tokens": pa.array(np.diff(np.concatenate([[0], np.cumsum(k, dtype=np.int64)])[cuts]))}
+        if {"ids", "ids_sha256"} & set(fields):
+            told = np.concatenate([[0], np.cumsum(k > 0)])[cuts].astype(np.int32)  # words without ids have no place between commas
+            out["ids"] = pc.binary_join(pa.ListArray.from_arrays(pa.array(told), csv.take(pa.array(own[k > 0]))), comma)
+        if {"decoded", "decoded_sha256"} & set(fields):
+            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), raw.take(pa.array(own))), nothing)
+            out["decoded"] = pa.array([t.as_py().decode("utf-8", "replace") for t in texts], pa.large_string())
+        for c in set(fields) - set(out):
+            out[c] = pa.array([hashlib.sha256(t.as_buffer()).hexdigest() for t in out[c.removesuffix("_sha256")]])
+        return pa.RecordBatch.from_arrays([out[c].cast(_FIELDS[c][1]) for c in fields], fields)
 
     return run
 
@@ -357,7 +387,8 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     counts as empty and has no ids; rows that repeat an id give a row each; a null id stays null; an
     empty table gives no rows. Strings of special tokens inside a text become their ids, as in the
     library. ``id_col`` must hold integers. Extra columns are not read. Memory is bounded by a pack
-    (about 48 MB of words, or one document where that is longer). Pack files are named by their
+    (about 48 MB of words, of which the distinct ones are kept, or one document where that is longer);
+    results leave a pack in parts of about ``PART_BYTES``. Pack files are named by their
     content and lie in the shared scratch folder, so a retried task writes the same file again.
     """
     spark = docs.sparkSession
@@ -369,4 +400,10 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     names = split.mapInArrow(_packer(root), "pack long, at int, word string")
     sorted_names = names.repartition(n_partitions(spark, docs), "word").sortWithinPartitions("word")
     encoded = sorted_names.mapInArrow(_encoder(path), "pack long, blob binary")
-    return encoded.groupBy("pack").applyInArrow(_restorer(root, path, list(fields)), ", ".join(f"{f} {_FIELDS[f][0]}" for f in fields))
+    restored = _restorer(root, path, list(fields))
+
+    def restore(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return restored(key, pa.Table.from_batches(batches))
+
+    # by number, since ids lie compressed in the shuffle: joined partitions would be many times larger once restored
+    return encoded.repartition(n_partitions(spark, docs), "pack").groupBy("pack").applyInArrow(restore, ", ".join(f"{f} {_FIELDS[f][0]}" for f in fields))

@@ -138,6 +138,11 @@ def turn_to(work: str) -> None:
     _work = work
     for forget in _forget:
         forget()
+    give_back()
+
+
+def give_back() -> None:
+    """Gives what this process has freed back to the machine."""
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
         trim(0)

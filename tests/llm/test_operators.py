@@ -548,6 +548,30 @@ def test_packs_with_missing_ids_raise(spark, path, tmp_path):
         _restorer(str(tmp_path), path, ["doc_id", "ids"])((pa.scalar(1),), group)
 
 
+def test_packs_are_restored_in_bounded_parts(path, tmp_path):
+    import pyarrow as pa
+
+    from plumbline.llm import bpe
+    from plumbline.llm.common import bundle, write_once
+
+    texts = [prose(k, 300) for k in range(40)] + ["", prose(1, 3000) + " 😀"]
+    words = sorted({w for t in texts for w in t.split(" ")})
+    at, enc = {w: k for k, w in enumerate(words)}, WordEncoder(path)
+    planes = lambda x: np.ascontiguousarray(np.array(x, "<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    lengths = [len(t.split(" ")) for t in texts]
+    write_once(str(tmp_path), bpe._file(1), bundle([np.arange(len(texts)).astype("<i8").tobytes(), bytes(len(texts) - 1) + b"\1", np.array(lengths, "<i8").tobytes(), planes([at[w] for t in texts for w in t.split(" ")])]))
+    ids = [x for w in words for x in (enc.ids(w) if w else b"", enc.ids(" " + w))]
+    blob = bundle([planes([0] + [1] * (len(words) - 1)), planes([len(x) >> 2 for x in ids]), planes(np.frombuffer(b"".join(ids), "<i4"))])
+    group = pa.table({"pack": pa.array([1]), "blob": pa.array([blob], pa.binary())})
+    parts = list(bpe._restorer(str(tmp_path), path, ["doc_id", "n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"], 20_000)((pa.scalar(1),), group))
+    assert len(parts) > 10 and all(p.num_rows == 1 or p.nbytes < 40_000 for p in parts)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for k, (r, t) in enumerate(zip(pa.Table.from_batches(parts).to_pylist(), texts, strict=True)):
+        got = load_tokenizer(path).encode(t, add_special_tokens=False).ids
+        want = ",".join(map(str, got))
+        assert r == {"doc_id": k if k < len(texts) - 1 else None, "n_tokens": len(got), "ids": want, "decoded": t, "ids_sha256": sha(want), "decoded_sha256": sha(t)}
+
+
 def test_workers_forget_earlier_work_and_batches_are_bounded(spark, path):
     from plumbline.llm import bpe, common, textkit
 
